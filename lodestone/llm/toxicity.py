@@ -18,8 +18,8 @@ from lodestone.session import cut, ship
 TRAIN_ROWS = 6000
 #: A token is a word or one of its prefixes of these lengths: compounds share their first part.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Pseudo-count mass of the prior, the least z of a scoring token, and the most tokens of a model.
-PRIOR, LEAST_Z, MAX_TOKENS = 2000.0, 4.0, 50_000
+#: The prior's mass as a share of all counts, the least z of a scoring token, and the most tokens of a model.
+PRIOR, LEAST_Z, MAX_TOKENS = 0.03, 2.3, 50_000
 #: Share of the sample that tokens are counted in; the rest calibrates.
 COUNTED = 0.6
 #: Log-odds of one token are cut here, so that no single word makes a passage.
@@ -106,17 +106,18 @@ def _log_odds(counts: DataFrame) -> DataFrame:
     """(token, odds, z, toxic, clean): log-odds ratio of the classes with an informative Dirichlet prior, over its deviation."""
     total = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("nt"), F.coalesce(F.sum("clean"), F.lit(0)).alias("nc")).first()
     nt, nc = float(total.nt or 0), float(total.nc or 0)
-    prior = (F.col("toxic") + F.col("clean")) / F.lit(max(nt + nc, 1.0)) * F.lit(PRIOR)
+    mass = max(PRIOR * (nt + nc), 1.0)
+    prior = (F.col("toxic") + F.col("clean")) / F.lit(max(nt + nc, 1.0)) * F.lit(mass)
     t, c = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.ln(t / (F.lit(nt + PRIOR) - t)) - F.ln(c / (F.lit(nc + PRIOR) - c))
+    odds = F.ln(t / (F.lit(nt + mass) - t)) - F.ln(c / (F.lit(nc + mass) - c))
     return counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, part): at most about TRAIN_ROWS rows of each class, none held out, one of each cluster of near copies.
+    """(text, toxic, weight, part): at most about TRAIN_ROWS rows of each class, none held out, one of each cluster of near copies.
 
     Rows that share their least hash of three words are taken for copies: a text that stands a thousand times would
-    otherwise lend its weight to all its words. ``part`` (0 to 1) divides counting from calibration.
+    otherwise lend its weight to all its words. ``weight`` is the inverse of the class's share; ``part`` (0 to 1) divides counting from calibration.
     """
     labels = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -124,15 +125,15 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = F.lit(0.0)
     for k in (0, 1):
         share = F.when(F.col("toxic") == k, F.lit(min(1.0, TRAIN_ROWS / max(n.get(k, 0), 1)))).otherwise(share)
-    drawn = labels.filter(u < share)  # at most about 2 * TRAIN_ROWS ids
-    mine = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(drawn), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic")
+    drawn = labels.filter(u < share).withColumn("weight", 1 / share)  # at most about 2 * TRAIN_ROWS ids
+    mine = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(drawn), F.col("__id") == F.col("doc_id")).select("doc_id", "text", "toxic", "weight")
     least = let(word_array(F.lower(text_or_empty())), lambda w: F.when(F.size(w) >= 3, F.array_min(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))).otherwise(F.xxhash64(F.array_join(w, " "))))
-    one = mine.withColumn("__k", least).groupBy("__k").agg(F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "text")).alias("r"))
-    return cut(one.select("r.text", "r.toxic", (F.pmod(F.xxhash64(F.lit(9), "__k"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("part")))
+    one = mine.withColumn("__k", least).groupBy("__k").agg(F.min_by(F.struct("text", "toxic", "weight"), F.struct("doc_id", "text")).alias("r"))
+    return cut(one.select("r.text", "r.toxic", "r.weight", (F.pmod(F.xxhash64(F.lit(9), "__k"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("part")))
 
 
 def _scan_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """(toxic, n, best) of the calibration rows."""
+    """(toxic, weight, n, best, hits) of labelled rows: words, best segment, words within segments."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -141,9 +142,9 @@ def _scan_rows(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             got = [scanner.scan(t or "") for t in batch.column("text").to_pylist()]
             hits = [sum(b - a + 1 for a, b, _ in s) for _, s in got]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in got], pa.int64()), pa.array([max((s[2] for s in g), default=0.0) for _, g in got], pa.float64()), pa.array(hits, pa.int64())], ["toxic", "n", "best", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array([n for n, _ in got], pa.int64()), pa.array([max((s[2] for s in g), default=0.0) for _, g in got], pa.float64()), pa.array(hits, pa.int64())], ["toxic", "weight", "n", "best", "hits"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "toxic int, n bigint, best double, hits bigint")
+    return docs.select("text", "toxic", "weight").mapInArrow(run, "toxic int, weight double, n bigint, best double, hits bigint")
 
 
 def _rate(pairs: list[tuple[float, float]], gap: float) -> float:
@@ -179,28 +180,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model.gap = float(np.clip(np.log(1 - min(share[1], 0.9)) - np.log(1 - share[0]), -0.5, -0.02))
     mean = float(np.mean(list(model.scores.values())))
     model.rate = _rate([(mean, min(share[0], 0.5 * -model.gap / (mean - model.gap)))], model.gap)
-    rows = [(r.toxic, r.n, r.best) for r in _scan_rows(sample.filter(F.col("part") >= COUNTED), model).collect()]
-    clean = [(n, b) for t, n, b in rows if not t]
+    rows = [(r.toxic, r.n, r.best, r.weight) for r in _scan_rows(sample.filter(F.col("part") >= COUNTED), model).collect()]
+    clean = [(n, b) for t, n, b, _ in rows if not t]
     model.size = float(np.clip(len(clean) / max(sum(n * np.exp(-model.rate * b) for n, b in clean), 1e-9), 1e-9, 1e3)) if clean else 1.0
     scanner = Scanner(model)
-    x = np.array([scanner.evidence(n, b) for _, n, b in rows])
-    y = np.array([t for t, _, _ in rows], float)
+    x = np.array([scanner.evidence(n, b) for _, n, b, _ in rows])
+    y = np.array([t for t, *_ in rows], float)
     if len(set(y.tolist())) == 2:
-        model.slope, model.shift = _logistic(x, y)
+        model.slope, model.shift = _logistic(x, y, np.array([w for *_, w in rows]))
     else:
         model.slope, model.shift = 1.0, -4.0
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Newton's method on standardised x, with equal weight for both classes' errors."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Newton's method on standardised x."""
     mean, dev = x.mean(), x.std() or 1.0
     z = np.stack([(x - mean) / dev, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        g = z.T @ (weight * (p - y)) + ridge * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-9:
