@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
+#: Schemas are DDL texts, so that importing them needs no session.
 SOURCE = "STRUCT<id: STRING, kind: STRING, uri: STRING, mime_type: STRING, digest: STRING>"
 CONFIDENCE = "STRUCT<value: DOUBLE, method: STRING, timestamp: STRING, rationale: STRING>"
 REFERENCE = "STRUCT<ref: STRING, kind: STRING, label: STRING, version: STRING>"
@@ -17,28 +11,28 @@ METADATA = "STRUCT<schema_version: STRING, created_at: STRING, updated_at: STRIN
 VERSION = "STRUCT<version_id: STRING, state: STRING, previous_version_id: STRING>"
 LIFECYCLE = "STRUCT<state: STRING, superseded_by: STRING, archived_at: STRING, history: ARRAY<STRUCT<from_state: STRING, to_state: STRING, timestamp: STRING, actor: STRING>>>"
 
-ARTIFACTS = _struct(
+ARTIFACTS = (
     "id STRING, absolute_path STRING, relative_path STRING, type STRING, category STRING, extension STRING, hash STRING, size BIGINT, created_time TIMESTAMP, modified_time TIMESTAMP, "
     "parent_directory STRING, tags ARRAY<STRING>, status STRING, previous_path STRING, scan_seq BIGINT"
 )
-SEGMENTS = _struct("source_uri STRING, seq BIGINT, id STRING, type STRING, label STRING, content STRING, location STRING")
-CANDIDATES = _struct("id STRING, source_uri STRING, seq BIGINT, knowledge_type STRING, title STRING, description STRING, content STRING, evidence_excerpt STRING, evidence_location STRING, segment_id STRING")
-OBJECTS = _struct(
+SEGMENTS = ("source_uri STRING, seq BIGINT, id STRING, type STRING, label STRING, content STRING, location STRING")
+CANDIDATES = ("id STRING, source_uri STRING, seq BIGINT, knowledge_type STRING, title STRING, description STRING, content STRING, evidence_excerpt STRING, evidence_location STRING, segment_id STRING")
+OBJECTS = (
     f"id STRING, type STRING, title STRING, description STRING, content STRING, sources ARRAY<{SOURCE}>, evidence ARRAY<{EVIDENCE}>, references ARRAY<{REFERENCE}>, metadata {METADATA}, version {VERSION}, "
     f"lifecycle {LIFECYCLE}, confidence {CONFIDENCE}, domain_tags ARRAY<STRING>, tags ARRAY<STRING>"
 )
-RELATIONSHIPS = _struct(f"id STRING, relationship_type STRING, from_ref {REFERENCE}, to_ref {REFERENCE}, evidence ARRAY<{EVIDENCE}>, confidence {CONFIDENCE}")
-NODES = _struct(
+RELATIONSHIPS = (f"id STRING, relationship_type STRING, from_ref {REFERENCE}, to_ref {REFERENCE}, evidence ARRAY<{EVIDENCE}>, confidence {CONFIDENCE}")
+NODES = (
     "id STRING, object_id STRING, type STRING, title STRING, labels ARRAY<STRING>, properties STRUCT<type: STRING, domain: STRING, project_id: STRING, lifecycle: STRING, confidence: DOUBLE, source: STRING, "
-    "tags ARRAY<STRING>, title: STRING, description: STRING>, metadata MAP<STRING, STRING>, seq BIGINT".replace("tags ARRAY<STRING>, title: STRING", "tags: ARRAY<STRING>, title: STRING")
+    "tags: ARRAY<STRING>, title: STRING, description: STRING>, metadata MAP<STRING, STRING>, seq BIGINT"
 )
-EDGES = _struct("id STRING, relationship_type STRING, source_id STRING, target_id STRING, directed BOOLEAN, properties STRUCT<confidence: DOUBLE, project_id: STRING, domain: STRING, evidence_count: BIGINT, synthetic: BOOLEAN>, relationship_id STRING, seq BIGINT")
-DIAGNOSTICS = _struct("level STRING, code STRING, message STRING, source_ref STRING")
-ELEMENTS = _struct(
+EDGES = ("id STRING, relationship_type STRING, source_id STRING, target_id STRING, directed BOOLEAN, properties STRUCT<confidence: DOUBLE, project_id: STRING, domain: STRING, evidence_count: BIGINT, synthetic: BOOLEAN>, relationship_id STRING, seq BIGINT")
+DIAGNOSTICS = ("level STRING, code STRING, message STRING, source_ref STRING")
+ELEMENTS = (
     "source_uri STRING, element_id STRING, parent_id STRING, parent_type STRING, ordinal BIGINT, depth INT, seq BIGINT, type STRING, level INT, content STRING, start_line INT, end_line INT, metadata STRING, error STRING"
 )
-KNOWLEDGE_TYPES = _struct("id STRING, name STRING, category STRING, content_schema STRING")
-RELATIONSHIP_TYPES = _struct("id STRING, name STRING, directed BOOLEAN, allowed_from_types ARRAY<STRING>, allowed_to_types ARRAY<STRING>")
+KNOWLEDGE_TYPES = ("id STRING, name STRING, category STRING, content_schema STRING")
+RELATIONSHIP_TYPES = ("id STRING, name STRING, directed BOOLEAN, allowed_from_types ARRAY<STRING>, allowed_to_types ARRAY<STRING>")
 
 # ---- fixed values: they must equal those of the system whose results are matched ---------------------------------
 
