@@ -18,4 +18,4 @@ QUERIES = {
     "op10_url_filter": urls.op10_url_filter,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op7_exact_dedup": exact.OP7_SQL, "op10_url_filter": urls.OP10_SQL}
+ORACLE_SQL = {"op1_mix": mixing.OP1_SQL, "op5_quality": quality.OP5_SQL, "op7_exact_dedup": exact.OP7_SQL, "op10_url_filter": urls.OP10_SQL}

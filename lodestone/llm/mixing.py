@@ -120,3 +120,27 @@ def mix_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     text = F.when(words < F.col("size"), cut_text).otherwise(whole)
     made = {"text": text, "n_chars": F.when(words < F.col("size"), F.length(text).cast("long")).otherwise(F.col("__row").getField("n_chars"))} if "n_chars" in docs.columns else {"text": text}
     return copies.select(*[made.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS symbols FROM documents
+), k AS (
+  SELECT *, -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / (1.0 / (1.0 + CASE WHEN size > 0 THEN symbols::DOUBLE / size ELSE 0.0 END)) AS key FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, 3.0 * source_size AS most, sum(source_size::DOUBLE) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight_rest
+  FROM s WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, most <= rest / weight_rest * w AS full_up, max(CASE WHEN most > rest / weight_rest * w THEN rest / weight_rest END) OVER () AS level FROM o
+), t AS (
+  SELECT source, source_size, (CASE WHEN full_up THEN most ELSE level * w END)::DOUBLE AS target FROM c
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(least(floor(target + 0.5) / source_size, 3.0))::BIGINT ELSE 0 END AS epochs FROM t
+), r AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, floor(e.target + 0.5)::BIGINT - e.epochs * e.source_size AS left_over, sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) - k.size AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, left_over - before)))::BIGINT AS taken FROM r
+"""
