@@ -15,9 +15,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"{BLANK}+\z|\A(?U)\s+", "")
 
 
-def keyword_type(text: Column, default: str) -> Column:
-    """The first knowledge type, in the table's order, with a keyword anywhere in the text, else the default."""
-    lowered, found = F.lower(text), F.lit(default)
+def keyword_type(text: Column, default: str | Column) -> Column:
+    """The first knowledge type, in the table's order, with a keyword anywhere in the text, else the default.
+
+    The text is looked at once per keyword: where it is costly to compute, pass a column of an earlier projection.
+    """
+    return keyword_type_of_lowered(F.lower(text), default)
+
+
+def keyword_type_of_lowered(lowered: Column, default: str | Column) -> Column:
+    found = default if isinstance(default, Column) else F.lit(default)
     for kind, keywords in reversed(schemas.KEYWORDS.items()):
         hit = lowered.contains(keywords[0])
         for k in keywords[1:]:

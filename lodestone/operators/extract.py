@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.functions.text import first_sentence, keyword_type, shortened, strip
+from lodestone.functions.text import first_sentence, keyword_type_of_lowered, shortened, strip
 
 TEXTUAL = ("paragraph", "semantic")
 
@@ -20,17 +20,18 @@ def candidates(segments: DataFrame) -> DataFrame:
     if "stage" not in segments.columns:
         segments = segments.withColumn("stage", F.lit(0))
     seg = segments.withColumn("segment_id", F.left(F.sha2(F.concat_ws("|", "source_uri", "type", F.col("stage").cast("string"), F.col("seq").cast("string")), 256), F.lit(32)))
-    text = F.col("content")
-    own = strip(text)
-    first_line = strip(F.split(text, "\r\n|[\n\r]")[0])
-    code_title = F.when(first_line.startswith("#"), strip(F.regexp_replace(first_line, "^#+", ""))).otherwise("Code snippet")
-    label = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("structural item"))
+    text, own, label = F.col("content"), F.col("__own"), F.col("__label")
     is_, kind = (lambda *k: F.col("type").isin(*k)), F.col("type")
-    sentence = first_sentence(text)
     plain = seg.filter(is_("heading", *TEXTUAL, "code", "table", "structural")).filter("content IS NOT NULL").filter(~((kind == "structural") & text.isin("0", "0.0", "false", "null", "[]", "{}")))
+    # what later expressions look at often is computed once, in projections of its own
+    plain = plain.withColumns({"__own": strip(text), "__label": F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("structural item"))})
+    plain = plain.withColumns({"__lowered": F.lower(F.when(is_("structural"), label).otherwise(own)), "__sentence": first_sentence(own), "__first": strip(F.split(text, "\r\n|[\n\r]")[0])})
+    sentence, first_line = F.col("__sentence"), F.col("__first")
+    code_title = F.when(first_line.startswith("#"), strip(F.regexp_replace(first_line, "^#+", ""))).otherwise("Code snippet")
+    usual = F.when(is_("heading"), "goal").when(is_("structural"), "entity").otherwise("document")
     plain = plain.select(
         "source_uri", "stage", "seq", F.lit(0).alias("item"), "segment_id",
-        F.when(is_("heading"), keyword_type(own, "goal")).when(is_(*TEXTUAL), keyword_type(own, "document")).when(is_("code"), "component").when(is_("table"), "business_rule").otherwise(keyword_type(label, "entity")).alias("knowledge_type"),
+        F.when(is_("code"), "component").when(is_("table"), "business_rule").otherwise(keyword_type_of_lowered(F.col("__lowered"), usual)).alias("knowledge_type"),
         F.when(is_("heading"), own).when(is_(*TEXTUAL), F.when(sentence != "", sentence).otherwise(F.left(own, F.lit(80)))).when(is_("code"), code_title).when(is_("table"), strip(F.concat(F.lit("Table "), F.coalesce("location", F.lit(""))))).otherwise(shortened(label)).alias("title"),
         F.when(is_("heading", *TEXTUAL), own).when(is_("code"), F.concat(F.lit("Code block"), F.when(F.col("label") != "", F.concat(F.lit(" ("), "label", F.lit(")"))).otherwise(""))).when(is_("table"), "Extracted table").alias("description"),
         F.when(is_("heading"), None).when(is_(*TEXTUAL), own).otherwise(text).alias("content"),
@@ -40,9 +41,9 @@ def candidates(segments: DataFrame) -> DataFrame:
     items = F.from_json(text, "array<string>")
     listed = seg.filter(is_("list", "task_list")).select("source_uri", "stage", "seq", "segment_id", "location", F.posexplode(items).alias("item", "raw"))
     value = strip(F.coalesce(F.get_json_object("raw", "$.text"), F.col("raw")))
-    listed = listed.withColumn("t", value).filter("t <> ''")
+    listed = listed.withColumn("t", value).filter("t <> ''").withColumn("__lowered", F.lower("t"))
     listed = listed.select(
-        "source_uri", "stage", "seq", "item", "segment_id", keyword_type(F.col("t"), "document").alias("knowledge_type"), first_sentence(F.col("t")).alias("title"), F.col("t").alias("description"), F.col("t").alias("content"), F.col("t").alias("evidence_excerpt"),
+        "source_uri", "stage", "seq", "item", "segment_id", keyword_type_of_lowered(F.col("__lowered"), "document").alias("knowledge_type"), first_sentence(F.col("t")).alias("title"), F.col("t").alias("description"), F.col("t").alias("content"), F.col("t").alias("evidence_excerpt"),
         F.when(F.coalesce("location", F.lit("")) != "", F.concat("location", F.lit("["), F.col("item").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("item "), F.col("item").cast("string"))).alias("evidence_location"),
     )
     both = plain.unionByName(listed)

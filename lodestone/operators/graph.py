@@ -364,8 +364,10 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id"))
-    return nodes.select("id").join(ends, "id", "left_anti")
+    """(id) of nodes at no edge. One aggregation by id with map-side combining: edges shrink to their distinct ends before the shuffle."""
+    marked = lambda df, c, node: df.select(F.col(c).alias("id"), F.lit(node).alias("node"))
+    both = marked(nodes, "id", True).union(marked(edges, "source_id", False)).union(marked(edges, "target_id", False))
+    return both.groupBy("id").agg(F.bool_and("node").alias("lonely")).filter("lonely").select("id")
 
 
 def type_histogram(nodes: DataFrame) -> DataFrame:
