@@ -14,6 +14,7 @@ from lodestone.config import Config, load
 from lodestone.functions import paths
 from lodestone.functions.text import diagnostic_line
 from lodestone.operators import discovery, extract, graph, knowledge, markdown, pycode, segments, structure
+from lodestone.operators.lookup import type_registry
 from lodestone.plugins import Registry
 from lodestone.session import cut
 from lodestone.sources import tree
@@ -106,8 +107,13 @@ class Engine:
         """
         mime = F.col("mime_type")
         kind = F.when(mime.isin("text/markdown", "text/x-markdown"), "markdown").when(mime.startswith("text/"), "text").when(mime.rlike("json|yaml"), "structured").when(mime.rlike("^(image|audio|video)/|octet-stream"), "binary")
+        foreign = self.registry.resolve("reader")  # callables with ``mime_types``, from docs to elements; they come before the engine's own
+        for reader in reversed(foreign):
+            kind = F.when(mime.isin(list(reader.mime_types)), f"plugin:{foreign.index(reader)}").otherwise(kind)
         docs = docs.withColumn("reader", kind)
         elements = markdown.elements(docs.filter("reader = 'markdown'"))
+        for i, reader in enumerate(foreign):
+            elements = elements.unionByName(reader(docs.filter(F.col("reader") == f"plugin:{i}").drop("reader")), allowMissingColumns=True)
         gate = knowledge.check_elements(elements)
         bad = gate.filter("level = 'error'").select(F.col("source_ref").alias("source_uri")).distinct()
         trees = elements.join(bad, "source_uri", "left_anti")
@@ -120,7 +126,7 @@ class Engine:
         ]
         every = reduce(DataFrame.unionByName, parts)
         found = reduce(DataFrame.unionByName, [x(every) for x in (*self.registry.resolve("extractor"), extract.candidates)])
-        checked = cut(extract.check_candidates(found, list(schemas.KNOWLEDGE_TYPE_CATEGORIES)).join(docs.select("source_uri", "mime_type"), "source_uri"))
+        checked = cut(extract.check_candidates(found, [r.id for r in self.types("knowledge").select("id").collect()]).join(docs.select("source_uri", "mime_type"), "source_uri"))
         for validator in self.registry.resolve("candidate_validator"):
             checked = validator(checked)
         error = lambda df, code, message: df.select(F.lit("error").alias("level"), F.lit(code).alias("code"), message.alias("message"), F.col("source_uri").alias("source_ref"))
@@ -154,7 +160,7 @@ class Engine:
         broken = parsed.filter("error IS NOT NULL").select(F.lit("error").alias("level"), F.lit("python_parse_failed").alias("code"), F.col("error").alias("message"), F.col("relative_path").alias("source_ref"))
         code = pycode.first_of_each(parsed)
         checked, reports = self.extract(others)
-        found = extract.objects(checked, project)
+        found = self.registry.first("candidate_builder", extract.objects)(checked, project)
         shape = lambda df, uri: df.select("id", "type", "title", "description", "content", F.col(uri).alias("source_uri"), F.lit(1.0).alias("confidence"), F.lit(project).alias("project_id"))
         inner = shape(code.withColumns({"type": F.lit("component"), "description": F.col("title")}), "relative_path").unionByName(shape(found, "source_uri"))
         inner = cut(inner)
@@ -169,8 +175,9 @@ class Engine:
         nodes = objects.select("id", F.col("id").alias("object_id"), "type", "title", F.array("type").alias("labels"), F.struct("type", F.lit(None).cast("string").alias("domain"), "project_id", F.lit("draft").alias("lifecycle"), "confidence", F.col("source_uri").alias("source"), F.array().cast("array<string>").alias("tags"), "title", "description").alias("properties"))
         edges = relationships.withColumns({"directed": ~F.col("relationship_type").isin(list(schemas.UNDIRECTED)), "relationship_id": F.col("id")})
         nodes, edges = cut(nodes), cut(edges)
-        checks = graph.validate(nodes, edges, knowledge.relationship_types(self.spark))
-        diagnostics = cut(reduce(DataFrame.unionByName, [skipped, failed, broken, reports, checks]))
+        checks = [graph.validate(nodes, edges, self.types("relationship"))]
+        checks += [validator(objects) for provider in self.registry.resolve("knowledge_validator_provider") for validator in provider()]
+        diagnostics = cut(reduce(DataFrame.unionByName, [skipped, failed, broken, reports, *checks]))
         result = Analysis(artifacts, objects, relationships, nodes, edges, diagnostics, graph.statistics(nodes, edges))
         if persist:
             self.persist(root, result)
@@ -182,10 +189,13 @@ class Engine:
         stream = lambda df: (r[0] for r in df.toLocalIterator())
         record = lambda df, kind: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(*df.columns).alias("data"))).alias("line"))
         space.write_lines("index/source_catalog.jsonl", stream(record(a.artifacts.orderBy("relative_path"), "ArtifactEntry")))
-        types = knowledge.knowledge_types(self.spark), knowledge.relationship_types(self.spark)
+        types = self.types("knowledge"), self.types("relationship")
         catalog = [record(types[0], "KnowledgeType"), record(types[1], "RelationshipType"), record(a.objects.orderBy("id"), "KnowledgeObject"), record(a.relationships.orderBy("id"), "KnowledgeRelationship")]
         space.write_lines("knowledge/catalog.jsonl", (x for df in catalog for x in stream(df)))
-        for name in ("graph/graph.jsonl", "knowledge/graph_nodes.jsonl", "knowledge/graph_edges.jsonl", "graph/graph.dot", "graph/graph.cypher"):
+        storage = self.registry.last("graph_storage")
+        if storage:
+            storage.save(a.nodes, a.edges, str(space.root))
+        for name in () if storage else ("graph/graph.jsonl", "knowledge/graph_nodes.jsonl", "knowledge/graph_edges.jsonl", "graph/graph.dot", "graph/graph.cypher"):
             space.write_lines(name, stream(self.graph_lines(a.nodes, a.edges, name)))
         counts = a.statistics
         diagnostics = [r.asDict() for r in a.diagnostics.orderBy("level", "code", "source_ref").collect()]
@@ -215,6 +225,13 @@ class Engine:
         keep = {"graph_nodes.jsonl": "part = 1", "graph_edges.jsonl": "part = 2"}.get(name.rpartition("/")[2], "true")
         return lines.filter(keep).orderBy("part", "line").select("line")
 
+    def types(self, what: str) -> DataFrame:
+        """The dimension of knowledge or relationship types, with those of plugins, whose providers return a DataFrame of the same columns."""
+        rows = {"knowledge": knowledge.knowledge_types, "relationship": knowledge.relationship_types}[what](self.spark)
+        for provider in self.registry.resolve(f"{what}_type_provider"):
+            rows = type_registry(rows, provider(self.spark))
+        return rows
+
     # ---- the graph's own interface -------------------------------------------------------------------------------------
 
     def query(self, q: graph.GraphQuery, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import graph_queries, text_queries
+from lodestone.plans import graph_queries, more_queries, text_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **text_queries.QUERIES}
-ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
+QUERIES: dict = {**graph_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES}
+ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **more_queries.ORACLE_SQL}

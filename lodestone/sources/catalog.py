@@ -101,3 +101,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+#: Files of each profile of a saved graph; any other name saves all.
+PROFILES = {"graph": ("graph.jsonl", "graph.dot", "graph.cypher"), "knowledge": ("graph_nodes.jsonl", "graph_edges.jsonl")}
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, profile: str = "all") -> list[str]:
+    """Write a graph's text forms as folders of part files below ``folder``; returns their names."""
+    from lodestone.engine import Engine
+
+    names = PROFILES.get(profile) or tuple(n for p in PROFILES.values() for n in p)
+    for name in names:
+        Engine.graph_lines(nodes, edges, name).write.mode("overwrite").text(f"{folder}/{name}")
+    return list(names)
