@@ -72,16 +72,15 @@ class Engine:
         ignore = root / ".lodestoneignore"
         lines = (ignore.read_text("utf-8").splitlines() if ignore.exists() else []) + list(options["ignore_patterns"])
         found = tree.scan(self.spark, str(root), ignore=lines, follow_symlinks=options["follow_symlinks"], include_directories=options["include_directories"])
-        found = cut(discovery.classify(found.drop("content")))
         previous = self._registry(root)
-        marked = cut(discovery.with_hash(found, previous))
-        read = cut(tree.read_files(marked.filter("need_hash AND NOT is_directory"), options["hash_algorithm"], options["max_file_size"]))
+        marked = cut(discovery.with_hash(discovery.classify(found.drop("content")), previous))  # the tree is walked once
+        read = tree.read_files(marked.filter("need_hash AND NOT is_directory"), options["hash_algorithm"], options["max_file_size"])
         hashed = read.select("relative_path", F.col("hash").alias("__new"), "binary")
         opaque = F.col("category").isin("media", "archive") | F.col("type").isin("pdf", "docx", "pptx")
         full = marked.join(hashed, "relative_path", "left").filter(~F.coalesce("binary", F.lit(False)) | opaque)
         names = [c.split()[0] for c in REGISTRY.split(", ")]
         artifacts = cut(full.withColumn("hash", F.coalesce("hash", "__new")).select(*names))
-        changes = cut(discovery.snapshot_diff(previous, artifacts))
+        changes = discovery.snapshot_diff(previous, artifacts)
         tallies = {r.status: r.n for r in discovery.change_tallies(changes).collect()}
         if save:
             space = self.workspace(root)
