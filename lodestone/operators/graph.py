@@ -86,14 +86,17 @@ def _criteria(q: GraphQuery) -> Column | None:
 
 
 def query_nodes(q: GraphQuery, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) of the nodes that fit; with a limit, the first ones by id. One filter, and a left semi join for the relationship type."""
+    """(id) of the nodes that fit; with a limit, the first ones by id. One filter, and one aggregation by id for the relationship type."""
     condition = _criteria(q)
     if condition is None and not q.relationship_type and q.edge_type:
         return nodes.select("id").limit(0)
     found = nodes if condition is None else nodes.filter(condition)
     if q.relationship_type:
         typed = edges.filter(F.col("relationship_type") == q.relationship_type)
-        found = found.join(typed.select(F.col("source_id").alias("id")).union(typed.select("target_id")), "id", "left_semi")
+        ends = typed.select(F.col("source_id").alias("id")).union(typed.select("target_id"))
+        # a semi-join as one aggregation: the edges shrink to their distinct ends before the shuffle, and no side is planned once per branch of a union
+        both = found.select("id", F.lit(True).alias("node"), F.lit(False).alias("end")).union(ends.select("id", F.lit(False), F.lit(True)))
+        found = both.groupBy("id").agg(F.bool_or("node").alias("node"), F.bool_or("end").alias("end")).filter("node AND end")
     found = found.select("id")
     return found.orderBy("id").limit(q.limit) if q.limit else found
 
