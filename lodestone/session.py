@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -39,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path
@@ -59,7 +63,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="lodestone-package-")) / "lodestone_package.zip"
+    folder = tempfile.mkdtemp(prefix="lodestone-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "lodestone_package.zip"
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))
