@@ -67,9 +67,10 @@ def _covered(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", stop_words: tuple | list = STOP_WORDS) -> DataFrame:
-    """``docs`` with the struct ``__quality`` of counts and ratios that rules may name.
+    """``docs`` with the struct ``__quality`` of counts and ratios that rules may name, and ``__pin``.
 
-    A null text counts as empty: all counts are 0, ratios null. No column of ``docs`` is changed.
+    A null text counts as empty: all counts are 0, ratios null. No column of ``docs`` is changed. ``__pin`` is a row number that nothing
+    depends on: a filter that names it is not pushed below this projection, where the measures would be computed once for each of their uses.
     """
     body = text_or_empty(text)
     has_word = f"[^{''.join(f'\\x{ord(c):02X}' for c in ' \t\n\x0b\x0c\r')}]"
@@ -95,7 +96,8 @@ def measures(docs: DataFrame, text: str = "text", stop_words: tuple | list = STO
     ratio = lambda a, b: F.try_divide(c(a).cast("double"), c(b).cast("double"))
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
     ratios = {"mean_word_chars": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "n_words"), "stop_ratio": ratio("n_stop_words", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "repeat_ratio": ratio("n_repeat_words", "n_words")}
-    return df.withColumn("__quality", F.struct(*[c(k).alias(k) for k in names], *[v.alias(k) for k, v in ratios.items()])).drop("__counts")
+    quality = F.struct(*[c(k).alias(k) for k in names], *[v.alias(k) for k, v in ratios.items()])
+    return df.withColumns({"__quality": quality, "__pin": F.monotonically_increasing_id()}).drop("__counts")
 
 
 def failures(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
@@ -127,7 +129,7 @@ def op5_quality(spark, folder: str) -> DataFrame:
 
 def keep(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents that pass; rows and columns are otherwise unchanged."""
-    return judge(docs).filter("__kept").select(*docs.columns)
+    return judge(docs).filter("__kept AND __pin >= 0").select(*docs.columns)
 
 
 OP5_SQL = r"""
