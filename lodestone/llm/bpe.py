@@ -7,6 +7,8 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -18,6 +20,7 @@ from lodestone.session import ship
 
 #: Pieces longer than this are merged with a heap.
 SHORT = 48
+NO_RANK = 1 << 62
 #: Distinct pieces a worker remembers; beyond it starts anew, so its memory is bounded.
 REMEMBERED = 300_000
 
@@ -34,23 +37,27 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def merge(parts: list, rank: Callable) -> list:
+def merge(parts: list, ranks: dict, pair: Callable) -> list:
     """``parts`` after merging, again and again, the leftmost adjacent pair of the least rank.
 
-    ``rank(a, b)`` is the rank of joining a and b, or None. Short inputs are rescanned, long ones kept in a linked list
-    with a heap of pairs: O(n log n).
+    ``ranks[pair(a, b)]`` is the rank of joining a and b. Short inputs keep the ranks of their pairs in a list, long ones a
+    linked list with a heap of pairs: O(n log n).
     """
     if len(parts) > SHORT:
-        return _merge_long(parts, rank)
-    while len(parts) > 1:
-        least = at = None
-        for i in range(len(parts) - 1):
-            r = rank(parts[i], parts[i + 1])
-            if r is not None and (least is None or r < least):
-                least, at = r, i
-        if at is None:
+        return _merge_long(parts, lambda a, b: ranks.get(pair(a, b)))
+    rank = ranks.get
+    row = [rank(pair(a, b), NO_RANK) for a, b in pairwise(parts)]
+    while row:
+        least = min(row)
+        if least == NO_RANK:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = row.index(least)
+        parts[i : i + 2] = (parts[i] + parts[i + 1],)
+        del row[i]
+        if i < len(row):
+            row[i] = rank(pair(parts[i], parts[i + 1]), NO_RANK)
+        if i:
+            row[i - 1] = rank(pair(parts[i - 1], parts[i]), NO_RANK)
     return parts
 
 
@@ -75,6 +82,10 @@ def _merge_long(parts: list, rank: Callable) -> list:
     return [p for p in parts if p is not None]
 
 
+def _both(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    return a, b
+
+
 class Memo(dict):
     """piece -> value; misses are computed, and the computed part is forgotten when it is full."""
 
@@ -118,14 +129,13 @@ def prove_whole(merges: list, vocabulary: list[bytes]) -> dict[str, int]:
     Only such strings may be counted without merging: a vocabulary entry can be out of reach of the merges.
     """
     ranks = {pair: i for i, pair in enumerate(merges)}
-    rank = lambda a, b: ranks.get((a, b))
     whole = {}
     for raw in vocabulary:
         try:
             piece = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue  # no piece of a text
-        if len(merge([raw[i : i + 1] for i in range(len(raw))], rank)) == 1:
+        if len(merge([raw[i : i + 1] for i in range(len(raw))], ranks, _both)) == 1:
             whole[piece] = 1
     return whole
 
@@ -135,11 +145,10 @@ class TokenCounter:
 
     def __init__(self, spec: dict):
         ranks = {pair: i for i, pair in enumerate(spec["merges"])}
-        rank = lambda a, b: ranks.get((a, b))
 
         def merged(piece: str) -> int:
             raw = piece.encode("utf-8")
-            return len(merge([raw[i : i + 1] for i in range(len(raw))], rank))
+            return len(merge([raw[i : i + 1] for i in range(len(raw))], ranks, _both))
 
         self.pieces = regex.compile(spec["pattern"]).findall
         self.special = regex.compile("|".join(map(regex.escape, spec["special"]))) if spec["special"] else None
@@ -208,14 +217,13 @@ class Codec:
     def __init__(self, spec: dict):
         ranks = spec["ranks"]
         self.token = {i: t for t, i in ranks.items()}
-        rank = lambda a, b: ranks.get(a + b)
         packed = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
 
         def encoded(piece: str) -> bytes:
             raw = piece.encode("utf-8")
             if raw in packed:
                 return packed[raw]
-            return b"".join([packed[t] for t in merge([raw[i : i + 1] for i in range(len(raw))], rank)])
+            return b"".join([packed[t] for t in merge([raw[i : i + 1] for i in range(len(raw))], ranks, add)])
 
         self.pattern = regex.compile(spec["pattern"])
         self.memo = Memo({}, encoded)
