@@ -7,7 +7,7 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import pairwise, repeat
 from operator import add
 
 import pyarrow as pa
@@ -21,8 +21,8 @@ from lodestone.session import ship
 #: Pieces longer than this are merged with a heap.
 SHORT = 48
 NO_RANK = 1 << 62
-#: Distinct pieces a worker remembers; beyond it starts anew, so its memory is bounded.
-REMEMBERED = 300_000
+#: Distinct pieces in each of the two generations that a worker remembers.
+REMEMBERED = 150_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,30 +37,39 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def merge(parts: list, ranks: dict, pair: Callable) -> list:
+def merge(parts: list, ranks: dict, joined: bool) -> list:
     """``parts`` after merging, again and again, the leftmost adjacent pair of the least rank.
 
-    ``ranks[pair(a, b)]`` is the rank of joining a and b. Short inputs keep the ranks of their pairs in a list, long ones a
-    linked list with a heap of pairs: O(n log n).
+    ``ranks`` has the rank of joining a and b under a + b if ``joined``, else under (a, b). Short inputs keep the ranks of
+    their pairs in a list, long ones a linked list with a heap of pairs: O(n log n).
     """
-    if len(parts) > SHORT:
-        return _merge_long(parts, lambda a, b: ranks.get(pair(a, b)))
     rank = ranks.get
-    row = [rank(pair(a, b), NO_RANK) for a, b in pairwise(parts)]
+    if len(parts) > SHORT:
+        return _merge_long(parts, (lambda a, b: rank(a + b)) if joined else (lambda a, b: rank((a, b))))
+    row = list(map(rank, map(add, parts, parts[1:]) if joined else pairwise(parts), repeat(NO_RANK)))
     while row:
         least = min(row)
         if least == NO_RANK:
             break
         i = row.index(least)
-        parts[i : i + 2] = (parts[i] + parts[i + 1],)
+        new = parts[i] + parts[i + 1]
+        parts[i : i + 2] = (new,)
         del row[i]
         if i < len(row):
-            row[i] = rank(pair(parts[i], parts[i + 1]), NO_RANK)
+            row[i] = rank(new + parts[i + 1] if joined else (new, parts[i + 1]), NO_RANK)
         if i:
-            row[i - 1] = rank(pair(parts[i - 1], parts[i]), NO_RANK)
+            row[i - 1] = rank(parts[i - 1] + new if joined else (parts[i - 1], new), NO_RANK)
     return parts
 
 
+#: The 256 byte strings of length 1.
+SINGLE = [bytes([b]) for b in range(256)]
+
+
+def merged(raw: bytes, ranks: dict, joined: bool) -> list[bytes]:
+    return merge(list(map(SINGLE.__getitem__, raw)), ranks, joined)
+
+
 def _merge_long(parts: list, rank: Callable) -> list:
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -82,21 +91,20 @@ def _merge_long(parts: list, rank: Callable) -> list:
     return [p for p in parts if p is not None]
 
 
-def _both(a: bytes, b: bytes) -> tuple[bytes, bytes]:
-    return a, b
-
-
 class Memo(dict):
-    """piece -> value; misses are computed, and the computed part is forgotten when it is full."""
+    """piece -> value; misses are computed and remembered in two generations of at most ``limit`` pieces each, so that frequent ones stay."""
 
     def __init__(self, known: dict, compute: Callable, limit: int = REMEMBERED):
         super().__init__(known)
-        self.known, self.compute, self.limit = known, compute, limit + len(known)
+        self.known, self.compute, self.limit, self.old = known, compute, limit + len(known), {}
 
     def __missing__(self, piece):
-        value = self.compute(piece)
+        value = self.old.pop(piece, None)
+        if value is None:
+            value = self.compute(piece)
         if len(piece) <= 256:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.known)
             self[piece] = value
@@ -135,7 +143,7 @@ def prove_whole(merges: list, vocabulary: list[bytes]) -> dict[str, int]:
             piece = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue  # no piece of a text
-        if len(merge([raw[i : i + 1] for i in range(len(raw))], ranks, _both)) == 1:
+        if len(merged(raw, ranks, False)) == 1:
             whole[piece] = 1
     return whole
 
@@ -146,13 +154,9 @@ class TokenCounter:
     def __init__(self, spec: dict):
         ranks = {pair: i for i, pair in enumerate(spec["merges"])}
 
-        def merged(piece: str) -> int:
-            raw = piece.encode("utf-8")
-            return len(merge([raw[i : i + 1] for i in range(len(raw))], ranks, _both))
-
         self.pieces = regex.compile(spec["pattern"]).findall
         self.special = regex.compile("|".join(map(regex.escape, spec["special"]))) if spec["special"] else None
-        self.memo = Memo(spec["whole"], merged)
+        self.memo = Memo(spec["whole"], lambda piece: len(merged(piece.encode("utf-8"), ranks, False)))
 
     def __call__(self, text: str) -> int:
         parts = self.special.split(text) if self.special else [text]
@@ -223,7 +227,7 @@ class Codec:
             raw = piece.encode("utf-8")
             if raw in packed:
                 return packed[raw]
-            return b"".join([packed[t] for t in merge([raw[i : i + 1] for i in range(len(raw))], ranks, add)])
+            return b"".join([packed[t] for t in merged(raw, ranks, True)])
 
         self.pattern = regex.compile(spec["pattern"])
         self.memo = Memo({}, encoded)
