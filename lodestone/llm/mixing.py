@@ -13,7 +13,7 @@ WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 CAP = 3
 #: Rows of a source that are sorted together, about.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 SEED = "mix-1"
 #: The plan, of one row per source, is broadcast up to so many sources (about 10 MB), and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
