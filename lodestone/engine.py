@@ -189,7 +189,9 @@ class Engine:
         record = lambda df, kind: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(*df.columns).alias("data"))).alias("line"))
         space.write_lines("index/source_catalog.jsonl", stream(record(a.artifacts.orderBy("relative_path"), "ArtifactEntry")))
         types = self.types("knowledge"), self.types("relationship")
-        catalog = [record(types[0], "KnowledgeType"), record(types[1], "RelationshipType"), record(a.objects.orderBy("id"), "KnowledgeObject"), record(a.relationships.orderBy("id"), "KnowledgeRelationship")]
+        evidence = self.spark.createDataFrame([(e, e.replace("_", " ").title()) for e in schemas.EVIDENCE_TYPES], "id string, name string")
+        about = self.spark.createDataFrame([(root.name, now())], "project string, generated_at string")
+        catalog = [record(types[0], "KnowledgeType"), record(types[1], "RelationshipType"), record(evidence, "EvidenceType"), record(a.objects.orderBy("id"), "KnowledgeObject"), record(a.relationships.orderBy("id"), "KnowledgeRelationship"), record(about, "metadata")]
         space.write_lines("knowledge/catalog.jsonl", (x for df in catalog for x in stream(df)))
         storage = self.registry.last("graph_storage")
         if storage:

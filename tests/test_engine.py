@@ -103,7 +103,7 @@ def test_analyze(spark, project):
     nodes, again = engine.load_graph(project)
     assert nodes.count() == len(objects) and {(r.relationship_type, r.source_id, r.target_id) for r in again.collect()} == edges
     kinds = {json.loads(x)["kind"] for x in space.path("knowledge/catalog.jsonl").read_text().splitlines()}
-    assert kinds == {"KnowledgeType", "RelationshipType", "KnowledgeObject", "KnowledgeRelationship"}
+    assert kinds == {"KnowledgeType", "RelationshipType", "EvidenceType", "KnowledgeObject", "KnowledgeRelationship", "metadata"}
     found, _ = engine.query(graph.GraphQuery(node_type="decision"), nodes, again)
     assert found.count() >= 1
 
@@ -320,3 +320,24 @@ def test_graph_from_objects(spark):
     e = {r.id: r for r in edges.collect()}
     assert set(e) == {"r", "ref:o0->o0", "ref:o1->o0"} and not e["r"].directed and e["r"].properties.evidence_count == 2
     assert [r.id for r in graph.neighbors(edges, "o1").orderBy("id").collect()] == ["o0"]
+
+
+def test_graph_object(spark, tmp_path):
+    from lodestone.api import Graph, Knowledge
+
+    nodes = spark.createDataFrame([("a", "decision", "Use it", ["decision", "db"]), ("b", "technology", "It", ["technology", "db"]), ("c", "requirement", "Must", ["requirement"])], "id string, type string, title string, labels array<string>")
+    edges = spark.createDataFrame([("1", "depends_on", "a", "b", True), ("2", "depends_on", "c", "a", True)], "id string, relationship_type string, source_id string, target_id string, directed boolean")
+    g = Graph(nodes, edges)
+    ids = lambda df: [r.id for r in df.orderBy("id").collect()]
+    assert ids(g.query(node_type="decision")[0]) == ["a"] and ids(g.query(tags=("db",))[0]) == ["a", "b"]
+    assert [ids(x) for x in g.query(edge_type="depends_on")] == [[], ["1", "2"]] and ids(g.query()[0]) == ["a", "b", "c"]
+    assert g.shortest_path("c", "b") == ["c", "a", "b"] and ids(g.descendants("c")) == ["a", "b"] and ids(g.ancestors("b", 1)) == ["a"] and ids(g.neighborhood("a")) == ["b", "c"] and ids(g.neighbors("a", "incoming")) == ["c"]
+    assert g.has_path("c", "b") and not g.has_path("b", "c") and g.connected_components().select("component").distinct().count() == 1
+    assert g.traverse("c", "bfs", max_depth=1).count() == 2 and g.validate().count() == 0 and g.statistics()["edge_count"] == 2
+    assert g.save(f"file://{tmp_path}/g", "knowledge") == ["graph_nodes.jsonl", "graph_edges.jsonl"]
+    g.save(f"file://{tmp_path}/g", "graph")
+    back = Graph.load(spark, f"file://{tmp_path}/g/graph.jsonl", "id string, type string", "id string, relationship_type string, source_id string, target_id string, directed boolean")
+    assert ids(back.nodes) == ["a", "b", "c"] and back.edges.count() == 2
+    k = Knowledge(spark)
+    k.register_types(spark.createDataFrame([("own", "Own", "x", None), ("risk", "Other", "y", None)], schemas.KNOWLEDGE_TYPES))
+    assert k.types.filter("id IN ('own', 'risk')").count() == 2 and k.types.filter("name = 'Other'").count() == 1
