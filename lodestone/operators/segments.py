@@ -41,6 +41,33 @@ def _where(prefix: str, n: Column, after: str = "") -> Column:
     return F.concat(F.lit(prefix), n.cast("string"), F.lit(after))
 
 
+def _runs(places: Column) -> Column:
+    """(first, last) of each run of consecutive numbers in a sorted array."""
+
+    def ends(p: Column) -> Column:
+        first = F.filter(p, lambda x, j: (j == 0) | (F.get(p, j - 1) != x - 1))
+        last = F.filter(p, lambda x, j: (j == F.size(p) - 1) | (F.get(p, j + 1) != x + 1))
+        return F.arrays_zip(first.alias("first"), last.alias("last"))
+
+    return _let(places, ends)
+
+
+def _places(array: Column, test) -> Column:
+    """Places, from 0, at which ``test`` holds."""
+    return F.transform(F.filter(F.transform(array, lambda x, i: F.struct(test(x).alias("t"), i.alias("i"))), lambda x: x.getField("t")), lambda x: x.getField("i"))
+
+
+def _below(sorted_places: Column, x: Column) -> Column:
+    """How many elements of a sorted array are below ``x``: a binary search of 32 steps at most."""
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(sorted_places)) & (F.get(sorted_places, at + step - 1) < x), at + step).otherwise(at))
+
+
+def _line_ends(parts: Column) -> Column:
+    """The place of the part of each line end in the parts, in order."""
+    return F.flatten(F.transform(parts, lambda p, i: F.array_repeat(i, _newlines(p))))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """Lines with one to six ``#``, then lines that ``=`` or ``-`` underline; an underline that has served cannot be a heading itself.
 
@@ -49,46 +76,33 @@ def headings(docs: DataFrame) -> DataFrame:
     atx_line = r"(?dU)^#{1,6}\s+.+$"
 
     def found(ls: Column) -> Column:
-        marked = F.transform(ls, lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-        atx = F.filter(marked, lambda x: x.getField("line").rlike(atx_line))
+        atx = F.transform(_places(ls, lambda line: line.rlike(atx_line)), lambda i: F.struct(F.get(ls, i).alias("line"), i.alias("i")))
         atx = F.transform(atx, lambda x: _segment(F.concat(F.lit("h"), F.length(F.regexp_extract(x.getField("line"), "^(#+)", 1)).cast("string")), strip(F.regexp_extract(x.getField("line"), r"(?dU)^#{1,6}\s+(.+?)(?:\s+#*)?$", 1)), _where("line ", x.getField("i") + 1)))
-        kind = F.transform(ls, lambda line: F.regexp_extract(strip(line), r"\A(?:(=)=*|(-)-*)\z", 0))
-        under = F.transform(kind, lambda k: F.when(k.startswith("="), "h1").when(k.startswith("-"), "h2"))
-
-        def setext(u: Column) -> Column:
-            # run: how many underlines in a row end here; the odd ones of a run that starts at the first line are shifted by one
-            step = lambda acc, x: F.concat(acc, F.array(F.when(x.isNull(), F.lit(0)).otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 1)))
-            runs = F.aggregate(u, F.array().cast("array<int>"), step)
-            return _let(runs, lambda r: F.filter(F.transform(u, lambda x, i: F.struct(x.alias("label"), i.alias("i"), F.get(r, i).alias("run"))), lambda x: x.getField("label").isNotNull() & (x.getField("run") % 2 == 1) & (x.getField("i") > 0)))
-
-        lines = F.transform(_let(under, setext), lambda x: _segment(x.getField("label"), strip(F.get(ls, x.getField("i") - 1)), _where("line ", x.getField("i"))))
-        return F.concat(atx, lines)
+        under = _runs(_places(ls, lambda line: strip(line).rlike(r"\A(?:=+|-+)\z")))
+        # a run at the very top has no line above its first underline
+        first = lambda r: F.when(r.getField("first") == 0, 1).otherwise(r.getField("first"))
+        serving = F.flatten(F.transform(under, lambda r: F.when(first(r) <= r.getField("last"), F.sequence(first(r), r.getField("last"), F.lit(2))).otherwise(F.array().cast("array<int>"))))
+        level = lambda i: F.when(strip(F.get(ls, i)).startswith("="), "h1").otherwise("h2")
+        return F.concat(atx, F.transform(serving, lambda i: _segment(level(i), strip(F.get(ls, i - 1)), _where("line ", i))))
 
     return _rows(docs, _let(lines_of(F.col("content")), found), "heading")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """Blocks between blank lines, less headings, fences and tables."""
-    gap = r"(?U)\n\s*\n"
-    blocks = F.split(F.col("content"), gap)
-    text = F.col("content")
+    """Blocks between blank lines, less headings, fences and tables. A single blank line at the top belongs to the first block."""
 
     def structural(b: Column) -> Column:
         ls = lines_of(b)
         return b.startswith("#") | b.startswith("```") | b.endswith("```") | (F.forall(ls, lambda x: x.contains("|")) & F.exists(ls, lambda x: x.contains("-")))
 
-    def placed(bs: Column) -> Column:
-        # the start of each block: block and gap lengths, summed
-        gaps = F.concat(F.regexp_extract_all(text, F.lit(gap), F.lit(0)), F.array(F.lit("")))
-        counted = F.transform(F.arrays_zip(bs.alias("b"), gaps.alias("g")), lambda z: F.struct(z.getField("b").alias("b"), (_newlines(z.getField("b")) + _newlines(z.getField("g"))).alias("n")))
-        step = lambda acc, x: F.struct((acc.getField("line") + x.getField("n")).alias("line"), F.concat(acc.getField("out"), F.array(F.struct(x.getField("b").alias("b"), acc.getField("line").alias("line")))).alias("out"))
-        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<b:string,line:int>>").alias("out"))
-        return F.aggregate(counted, start, step, lambda acc: acc.getField("out"))
+    def found(ls: Column) -> Column:
+        full = _places(ls, lambda line: strip(line) != "")
+        block = lambda r: strip(F.array_join(F.slice(ls, r.getField("first") + 1, r.getField("last") - r.getField("first") + 1), "\n"))
+        line = lambda r: F.when(r.getField("first") == 1, 1).otherwise(r.getField("first") + 1)
+        return F.transform(_runs(full), lambda r: F.struct(block(r).alias("b"), line(r).alias("line")))
 
-    found = _let(blocks, placed)
-    found = F.transform(found, lambda x: F.struct(strip(x.getField("b")).alias("b"), x.getField("line").alias("line")))
-    found = F.filter(found, lambda x: (x.getField("b") != "") & ~structural(x.getField("b")))
-    return _rows(docs, F.transform(found, lambda x: _segment(F.lit(None), x.getField("b"), _where("line ", x.getField("line")))), "paragraph")
+    blocks = F.filter(_let(F.split(F.col("content"), "\n"), found), lambda x: ~structural(x.getField("b")))
+    return _rows(docs, F.transform(blocks, lambda x: _segment(F.lit(None), x.getField("b"), _where("line ", x.getField("line")))), "paragraph")
 
 
 def _newlines(text: Column) -> Column:
@@ -99,26 +113,21 @@ def code_blocks(docs: DataFrame) -> DataFrame:
     """Fenced blocks with their language; the n-th block of a document says so."""
     fence = r"(?s)```[ \t]*((?U:\w+))?[ \t]*\r?\n(.*?)```"
     text = F.col("content")
-    whole = F.regexp_extract_all(text, F.lit(fence), F.lit(0))
+    blocks = F.regexp_extract_all(text, F.lit(fence), F.lit(0))
 
-    def placed(ws: Column) -> Column:
-        # texts between the blocks, by splitting at each block in turn
-        start = F.struct(text.alias("rest"), F.lit(1).alias("line"), F.array().cast("array<struct<w:string,line:int>>").alias("out"))
+    def found(ws: Column) -> Column:
+        def placed(inside: Column) -> Column:
+            # line ends before block i: those of the texts 0 to i between blocks, and of the blocks before it
+            return _let(_line_ends(F.split(text, fence)), lambda between: F.transform(ws, lambda w, i: describe(w, i, _below(between, i + 1) + _below(inside, i) + 1)))
 
-        def move(acc: Column, w: Column) -> Column:
-            at = F.position(w, acc.getField("rest"))
-            before = F.substring(acc.getField("rest"), F.lit(1), at - 1)
-            line = acc.getField("line") + _newlines(before)
-            return F.struct(F.substring(acc.getField("rest"), at + F.length(w), F.length(acc.getField("rest"))).alias("rest"), (line + _newlines(w)).cast("int").alias("line"), F.concat(acc.getField("out"), F.array(F.struct(w.alias("w"), line.cast("int").alias("line")))).alias("out"))
+        return _let(_line_ends(ws), placed)
 
-        return F.aggregate(ws, start, move, lambda acc: acc.getField("out"))
+    def describe(w: Column, i: Column, line: Column) -> Column:
+        language = F.regexp_extract(w, fence, 1)
+        code = F.btrim(F.regexp_extract(w, fence, 2), F.lit("\n"))
+        return _segment(F.when(language != "", language), code, F.concat(F.lit("code block "), (i + 1).cast("string"), F.lit(" (line "), line.cast("string"), F.lit(")")))
 
-    def describe(x: Column, i: Column) -> Column:
-        language = F.regexp_extract(x.getField("w"), fence, 1)
-        code = F.btrim(F.regexp_extract(x.getField("w"), fence, 2), F.lit("\n"))
-        return _segment(F.when(language != "", language), code, F.concat(F.lit("code block "), (i + 1).cast("string"), F.lit(" (line "), x.getField("line").cast("string"), F.lit(")")))
-
-    return _rows(docs, F.transform(_let(whole, placed), describe), "code")
+    return _rows(docs.filter(text.contains("```")), _let(blocks, found), "code")
 
 
 def table_cells(line: Column) -> Column:
@@ -130,33 +139,24 @@ def table_cells(line: Column) -> Column:
 
 def tables(docs: DataFrame) -> DataFrame:
     """Runs of lines with a bar, as JSON arrays of rows; separator rows are left out, and runs of nothing else."""
+    separator = lambda line: line.rlike(r"\A[-:| \t]*\z") & line.contains("-") & line.contains("|")
 
     def found(ls: Column) -> Column:
-        start = F.array().cast("array<struct<first:int,last:int,rows:array<string>>>")
+        def rows(r: Column) -> Column:
+            lines = F.slice(ls, r.getField("first") + 1, r.getField("last") - r.getField("first") + 1)
+            return F.filter(F.transform(F.filter(lines, lambda x: ~separator(x)), table_cells), lambda c: F.size(c) > 0)
 
-        def step(acc: Column, x: Column) -> Column:
-            last = F.try_element_at(acc, F.lit(-1))
-            joined = F.struct(last.getField("first").alias("first"), x.getField("i").alias("last"), F.concat(last.getField("rows"), F.array(x.getField("line"))).alias("rows"))
-            fresh = F.struct(x.getField("i").alias("first"), x.getField("i").alias("last"), F.array(x.getField("line")).alias("rows"))
-            return F.when(last.getField("last") == x.getField("i") - 1, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
+        return F.transform(_runs(_places(ls, lambda line: line.contains("|"))), lambda r: F.struct(r.getField("first").alias("first"), r.getField("last").alias("last"), rows(r).alias("rows")))
 
-        barred = F.filter(F.transform(ls, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: x.getField("line").contains("|"))
-        return F.aggregate(barred, start, step)
-
-    separator = lambda line: line.rlike(r"\A[-:| \t]*\z") & line.contains("-") & line.contains("|")
-    blocks = _let(lines_of(F.col("content")), found)
-    rows = F.transform(blocks, lambda b: F.struct(b.getField("first").alias("first"), b.getField("last").alias("last"), F.filter(F.transform(F.filter(b.getField("rows"), lambda r: ~separator(r)), table_cells), lambda c: F.size(c) > 0).alias("rows")))
-    rows = F.filter(rows, lambda b: F.size(b.getField("rows")) > 0)
-    return _rows(docs, F.transform(rows, lambda b: _segment(F.lit("table"), F.to_json(b.getField("rows")), F.concat(F.lit("lines "), (b.getField("first") + 1).cast("string"), F.lit("-"), (b.getField("last") + 1).cast("string")))), "table")
+    blocks = F.filter(_let(lines_of(F.col("content")), found), lambda b: F.size(b.getField("rows")) > 0)
+    return _rows(docs, F.transform(blocks, lambda b: _segment(F.lit("table"), F.to_json(b.getField("rows")), F.concat(F.lit("lines "), (b.getField("first") + 1).cast("string"), F.lit("-"), (b.getField("last") + 1).cast("string")))), "table")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """Pieces that end in . ! or ? before white space; lines are counted by the pieces before."""
+    """Pieces that end in . ! or ? before white space; the line is 1, and one more for each piece and each line end within pieces before."""
     parts = F.filter(F.transform(F.split(strip(F.col("content")), r"(?<=[.!?])(?U:\s+)"), strip), lambda s: s != "")
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<s:string,line:int>>").alias("out"))
-    step = lambda acc, s: F.struct((acc.getField("line") + _newlines(s) + 1).alias("line"), F.concat(acc.getField("out"), F.array(F.struct(s.alias("s"), acc.getField("line").alias("line")))).alias("out"))
-    found = F.aggregate(parts, start, step, lambda acc: acc.getField("out"))
-    return _rows(docs, F.transform(found, lambda x: _segment(F.lit(None), x.getField("s"), _where("line ", x.getField("line")))), "semantic")
+    found = _let(parts, lambda ps: _let(_line_ends(ps), lambda ends: F.transform(ps, lambda s, i: _segment(F.lit(None), s, _where("line ", _below(ends, i) + i + 1)))))
+    return _rows(docs, found, "semantic")
 
 
 def text_segments(docs: DataFrame, semantic: bool = False) -> DataFrame:
