@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import table, text_or_empty
+from lodestone.llm.words import slices, table, text_or_empty
 from lodestone.session import ship
 
 #: Pieces longer than this are merged with a heap.
@@ -191,7 +191,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _built(TokenCounter, shared)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [counter(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
@@ -304,19 +304,19 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", size: int = CHUNK
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _built(Codec, shared)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [codec.encode(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([codec.decode(i) for i in ids], pa.binary())], names)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 parts = chunks_of(row["__text"], size, overlap)
                 yield pa.RecordBatch.from_pylist([{"uid": row["uid"], "doc_id": row["doc_id"], "k": k, "n": len(parts), "start": s, "chunk": c} for k, (s, c) in enumerate(parts)], schema=chunk_schema)
 
     def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _built(Codec, shared)
-        for batch in batches:
+        for batch in slices(batches):
             bounds = [[s + b for b in codec.bounds(c, k == n - 1)] for k, n, s, c in zip(*(batch.column(x).to_pylist() for x in ("k", "n", "start", "chunk")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.list_(pa.int64()))], [*chunk_schema.names, "bounds"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import table, text_or_empty
+from lodestone.llm.words import slices, table, text_or_empty
 from lodestone.session import cut, ship
 
 #: Subwords are runs of so many characters within a word and its two borders, hashed to 2 ** BITS rows of DIM numbers.
@@ -114,7 +114,7 @@ def sample_of(docs: DataFrame) -> tuple[list[str], DataFrame]:
     drawn = rows.filter(u < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text, part in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "part")), strict=True):
                 counts = np.zeros(1 << BITS, np.int64)
                 for _, bucket in subwords([text]):
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("__text").to_pylist()
             has = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             p = scores(m, texts) if m else np.zeros((len(texts), 1))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import table, text_or_empty
+from lodestone.llm.words import slices, table, text_or_empty
 from lodestone.operators.components import connected_components
 from lodestone.operators.keyed import attach
 from lodestone.session import cut, ship
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> DataFra
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 

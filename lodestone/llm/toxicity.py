@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import Memo
-from lodestone.llm.words import let, table, text_or_empty, word_array
+from lodestone.llm.words import let, slices, table, text_or_empty, word_array
 from lodestone.session import cut, ship
 
 #: Labelled rows of each class that are learned from, about; more are sampled by a hash of their id.
@@ -139,7 +139,7 @@ def _scan_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             got = [scanner.scan(t or "") for t in batch.column("text").to_pylist()]
             hits = [sum(b - a + 1 for a, b, _ in s) for _, s in got]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array([n for n, _ in got], pa.int64()), pa.array([max((s[2] for s in g), default=0.0) for _, g in got], pa.float64()), pa.array(hits, pa.int64())], ["toxic", "weight", "n", "best", "hits"])
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         m = scanner.model
-        for batch in batches:
+        for batch in slices(batches):
             chances, passages = [], []
             for t in batch.column("__text").to_pylist():
                 n, found = scanner.scan(t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Rows that a worker turns to Python objects at once; Arrow's batches have 10,000.
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
+    """Parts of record batches, so that a worker holds the strings and results of a few rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
