@@ -129,12 +129,12 @@ def neighbors(edges: DataFrame, node: str, direction: str = "both", edge_types:
     return adjacency(edges, direction, edge_types).filter(F.col("node") == node).select(F.col("next").alias("id")).distinct()
 
 
-def bfs(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "outgoing", max_depth: int | None = None, edge_types: list[str] | None = None, target: str | None = None) -> DataFrame:
+def bfs(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "outgoing", max_depth: int | None = None, edge_types: list[str] | None = None, target: str | None = None, ordered: bool = True) -> DataFrame:
     """(id, distance, visit, parent): breadth-first from ``start``; empty if it is no node.
 
     ``visit`` counts in the order of a queue: by the parent's visit, outgoing before incoming, then the edge's seq. Each level is a join of the
     frontier with the steps, an anti-join with what was seen, and one minimum per node; levels are checkpointed. The order within a
-    level is a global sort of that level's new nodes. Stops once ``target`` is reached.
+    level is a global sort of that level's new nodes; without ``ordered`` there is none, and ``visit`` is 0. Stops once ``target`` is reached.
     """
     spark = nodes.sparkSession
     steps = cut(adjacency(edges, direction, edge_types))
@@ -147,7 +147,8 @@ def bfs(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "outgoi
         reached = level.join(steps, F.col("id") == F.col("node")).select(F.col("next").alias("n"), F.struct("visit", "turn", "edge_seq", F.col("id").alias("parent")).alias("by"))
         fresh = reached.join(seen.select(F.col("id").alias("n")), "n", "left_anti").groupBy("n").agg(F.min("by").alias("by"))
         order = Window.orderBy("by.visit", "by.turn", "by.edge_seq", "n")
-        level = cut(fresh.select(F.col("n").alias("id"), F.lit(depth).alias("distance"), (F.row_number().over(order) + count - 1).cast("long").alias("visit"), F.col("by.parent").alias("parent")))
+        visit = (F.row_number().over(order) + count - 1).cast("long") if ordered else F.lit(0).cast("long")
+        level = cut(fresh.select(F.col("n").alias("id"), F.lit(depth).alias("distance"), visit.alias("visit"), F.col("by.parent").alias("parent")))
         found = level.agg(F.count("*").alias("c"), F.coalesce(F.max(F.col("id") == target), F.lit(False)).alias("hit")).first() if target else level.agg(F.count("*").alias("c"), F.lit(False).alias("hit")).first()
         if not found.c:
             break
@@ -160,7 +161,7 @@ def bfs(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "outgoi
 
 def reachable(nodes: DataFrame, edges: DataFrame, start: str, direction: str, max_depth: int | None = None) -> DataFrame:
     """(id, distance) of what is reachable within ``max_depth`` steps, without ``start``."""
-    return bfs(nodes, edges, start, direction, max_depth).filter(F.col("id") != start).select("id", "distance")
+    return bfs(nodes, edges, start, direction, max_depth, ordered=False).filter(F.col("id") != start).select("id", "distance")
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int | None = None) -> DataFrame:
@@ -209,7 +210,7 @@ def dfs(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "outgoi
     The steps among what is reachable are collected, at most DFS_EDGES of them; a larger walk raises.
     """
     spark = nodes.sparkSession
-    near = bfs(nodes, edges, start, direction, max_depth, edge_types).select(F.col("id").alias("node"))
+    near = bfs(nodes, edges, start, direction, max_depth, edge_types, ordered=False).select(F.col("id").alias("node"))
     rows = adjacency(edges, direction, edge_types).join(near, "node", "left_semi").orderBy("node", "turn", "edge_seq", "next").limit(DFS_EDGES + 1).collect()
     if len(rows) > DFS_EDGES:
         raise ValueError(f"a depth-first walk is limited to {DFS_EDGES} steps; use bfs")
