@@ -207,7 +207,7 @@ def op3_token_count(spark: SparkSession, folder: str) -> DataFrame:
 # ---- encoding and decoding ----------------------------------------------------------------------------------------
 
 #: Code points of a chunk, and of the part it shares with the next one.
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 65_536, 1_024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -136,7 +136,7 @@ def test_every_code_point_splits_as_in_the_libraries():
     assert not odd
 
 
-@pytest.mark.parametrize("size,overlap", [(32_768, 1024), (50, 16), (7, 4)])
+@pytest.mark.parametrize("size,overlap", [(65_536, 1024), (32_768, 1024), (50, 16), (7, 4)])
 def test_round_trip(spark, size, overlap):
     e = encoding()
     docs = awkward(spark)
