@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import similar
 from lodestone.llm.words import slices, table, text_or_empty
 from lodestone.operators.components import connected_components
 from lodestone.operators.keyed import attach
@@ -242,12 +243,14 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep(spark: SparkSession, docs: DataFrame, folder: str, words: int = 3) -> DataFrame:
+def keep(spark: SparkSession, docs: DataFrame, folder: str, words: int = similar.WORDS, similarity: float = similar.SIMILARITY) -> DataFrame:
     """Pipeline stage: of each group of near copies, the row with the least doc_id stays (null ids after all others).
 
+    Near copies have a Jaccard similarity of at least ``similarity`` over shingles of ``words`` words. Fingerprints do not
+    serve here: at 0.8 they differ by up to 17 bits, a radius at which vantage-point trees leave out nothing.
     Where rows that stay share a doc_id, one of each group stays, the smallest by its columns as JSON.
     """
-    rows = cut(near_groups(cut(fingerprints(docs, words))).select("doc_id", "fp", "component_id"))
+    rows = cut(similar.near_groups(docs, words, similarity))
     per_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     mine = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "component_id")
     kept = cut(mine.join(per_id, rows["doc_id"].eqNullSafe(per_id["doc_id"])).select(mine["doc_id"].alias("__id"), "fp", "component_id", "n"))
@@ -259,18 +262,18 @@ def keep(spark: SparkSession, docs: DataFrame, folder: str, words: int = 3) -> D
     ids = several.select("__id", "fp", "component_id").distinct()
     again = docs.join(ids.select(F.col("__id").alias("__i")).distinct(), F.col("doc_id").eqNullSafe(F.col("__i")), "left_semi")
     carried = again.withColumn("__row", F.struct(*[F.col(c) for c in docs.columns])).select("__row", F.to_json("__row").alias("__json"))
-    marked = _with_fingerprint(carried, words).join(ids, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("fp")))
+    marked = _with_key(carried, words).join(ids, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("fp")))
     # rows without an id have no component of their own: there each fingerprint is a group
     one = marked.groupBy("__id", F.coalesce("component_id", "fp").alias("__c")).agg(F.min_by("__row", "__json").alias("__row")).select("__row.*")
     return single.unionByName(one)
 
 
-def _with_fingerprint(rows: DataFrame, words: int) -> DataFrame:
-    """``rows`` (__row, __json) with ``__fp`` of the row's text."""
+def _with_key(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (__row, __json) with ``__fp``, the key of the set of the text's shingles."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("bigint")
     def fp(texts):
-        return texts.map(lambda t: int(np.uint64(fingerprint(t or "", words)).view(np.int64)))
+        return texts.map(lambda t: similar.set_key(similar.shingle_set(t or "", words)))
 
     return rows.withColumn("__fp", fp(F.col("__row.text").cast("string")))
