@@ -16,7 +16,7 @@ class Config:
     workspace_dir: str = ".lodestone"
     log_level: str = "INFO"
     plugin_dirs: list = field(default_factory=list)
-    discovery: dict = field(default_factory=lambda: {"follow_symlinks": False, "include_directories": True, "ignore_patterns": [], "hash_algorithm": "sha256", "max_file_size": 100_000_000})
+    discovery: dict = field(default_factory=lambda: {"follow_symlinks": False, "include_directories": True, "ignore_patterns": [], "hash_algorithm": "sha256", "max_file_size": None})
 
     def __post_init__(self) -> None:
         self.log_level = str(self.log_level).upper()

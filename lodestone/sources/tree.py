@@ -163,10 +163,11 @@ def scan(spark: SparkSession, root: str, *, content: bool = False, ignore: list[
     return spark.read.format("tree").options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).load()
 
 
-def read_files(files: DataFrame, algorithm: str = "sha256", max_bytes: int = 1 << 30, content: bool = False) -> DataFrame:
+def read_files(files: DataFrame, algorithm: str = "sha256", max_bytes: int | None = 1 << 30, content: bool = False) -> DataFrame:
     """(relative_path, hash, binary, text, failed) of ``files`` (relative_path, absolute_path, size), opened on the executors.
 
-    Bytes are hashed in chunks, so that only ``content`` holds a whole file in memory; above ``max_bytes`` there is no hash.
+    Bytes are hashed in chunks, so that only ``content`` holds a whole file in memory; above ``max_bytes`` there is no hash
+    and, where ``content`` is asked for, no text but a reason in ``failed``. None is no limit.
     ``binary``: the first 1,024 bytes have a NUL or are not UTF-8. ``text`` is null for binary files; ``failed`` says why a file could not be read.
     """
     import hashlib
@@ -179,11 +180,12 @@ def read_files(files: DataFrame, algorithm: str = "sha256", max_bytes: int = 1 <
 
     def read(path: str, size: int) -> tuple:
         digest, head, parts = hashlib.new(algorithm), b"", []
+        large = max_bytes is not None and size > max_bytes
         try:
             with open(path, "rb") as f:
                 while chunk := f.read(1 << 16):
                     head = head or chunk[:1024]
-                    if size > max_bytes:
+                    if large:
                         break
                     digest.update(chunk)
                     if content:
@@ -196,12 +198,14 @@ def read_files(files: DataFrame, algorithm: str = "sha256", max_bytes: int = 1 <
         except UnicodeDecodeError as e:
             binary = b"\0" in head or not (len(head) == 1024 and e.start >= len(head) - 3 and e.reason == "unexpected end of data")
         text = failed = None
-        if content and not binary:
+        if content and not binary and large:
+            failed = f"file of {size} bytes is above the limit of {max_bytes} bytes"
+        elif content and not binary:
             try:
                 text = b"".join(parts).decode("utf-8")
             except UnicodeDecodeError as e:
                 failed = f"UnicodeDecodeError: {e}"
-        return digest.hexdigest() if size <= max_bytes else None, binary, text, failed
+        return None if large else digest.hexdigest(), binary, text, failed
 
     def run(batches):
         kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]

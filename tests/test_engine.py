@@ -341,3 +341,16 @@ def test_graph_object(spark, tmp_path):
     k = Knowledge(spark)
     k.register_types(spark.createDataFrame([("own", "Own", "x", None), ("risk", "Other", "y", None)], schemas.KNOWLEDGE_TYPES))
     assert k.types.filter("id IN ('own', 'risk')").count() == 2 and k.types.filter("name = 'Other'").count() == 1
+
+
+def test_large_files_are_hashed_and_unread_text_is_reported(spark, tmp_path):
+    with open(tmp_path / "big.txt", "wb") as f:
+        f.write(b"text" * 300)
+        f.truncate(100_000_001)
+    (tmp_path / "small.txt").write_text("text")
+    options = load(tmp_path).discovery
+    files = tree.scan(spark, str(tmp_path))
+    hashes = {r.relative_path: r.hash for r in tree.read_files(files, options["hash_algorithm"], options["max_file_size"]).collect()}
+    assert set(hashes) == {"big.txt", "small.txt"} and all(hashes.values())
+    got = {r.relative_path: (r.text, r.failed) for r in tree.read_files(files, max_bytes=1000, content=True).collect()}
+    assert got["small.txt"] == ("text", None) and got["big.txt"][0] is None and "above the limit" in got["big.txt"][1]
