@@ -223,6 +223,34 @@ def cycle_count(spark, d):
     return G.cycles(*T.supplier_graph(spark, d, 48.0))
 
 
+# The queries above are bound by what their SQL can close over; these have no thresholds and no SQL, see tests/test_whole_graph.py.
+
+
+@register("dfs_order_whole")
+def dfs_whole(spark, d):
+    return G.dfs(*_graph(spark, d), START)
+
+
+@register("connected_components_whole")
+def components_whole(spark, d):
+    return G.components(*_graph(spark, d))
+
+
+@register("strong_components_whole")
+def strong_whole(spark, d):
+    return G.strong_components(*T.supplier_steps(spark, d))
+
+
+@register("strong_components_distributed_whole")
+def strong_distributed_whole(spark, d):
+    return G.strong_components(*T.supplier_steps(spark, d), driver_edges=0)
+
+
+@register("cycle_count_whole")
+def cycle_count_whole(spark, d):
+    return G.cycles(*T.supplier_steps(spark, d))
+
+
 @register(
     "export_dot_lines",
     f"WITH {N}, {E} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 3, '}}' UNION ALL SELECT 1, '  \"' || id || '\" [label=\"' || left(title, 80) || '\"];' FROM nodes UNION ALL SELECT 2, '  \"' || source_id || '\" -> \"' || target_id || '\" [label=\"' || relationship_type || '\"];' FROM edges",

@@ -191,3 +191,8 @@ def catalog_jsonl(spark, d):
 )
 def graph_validation(spark, d):
     return G.validate(*T.supplier_graph(spark, d, 49.0), K.relationship_types(spark)).groupBy("level", "code").agg(F.count("*").alias("n"))
+
+
+@register("graph_validation_tallies_whole")
+def graph_validation_whole(spark, d):
+    return G.validate(T.nodes(spark, d), T.edges(spark, d), K.relationship_types(spark)).groupBy("level", "code").agg(F.count("*").alias("n"))

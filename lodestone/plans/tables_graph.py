@@ -75,6 +75,13 @@ def supplier_graph(spark: SparkSession, folder: str, quantity: float) -> tuple[D
     return n, e
 
 
+def supplier_steps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All suppliers, and all steps between suppliers of consecutive lines of one order, once each."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    pairs = table(spark, folder, "lineitem").withColumn("next", F.lead("l_suppkey").over(w)).filter("next IS NOT NULL").select("l_suppkey", "next").distinct()
+    return nodes(spark, folder).filter("type = 'supplier'"), _edge(pairs, "depends_on", ref("supplier", "l_suppkey"), ref("supplier", "next"))
+
+
 NODES_SQL = """
 nodes(id, type, title, tag, domain, lifecycle, confidence) AS (
   SELECT 'region:' || r_regionkey, 'region', r_name, r_name, 'geo', 'published', 1.0::DOUBLE FROM region
