@@ -18,6 +18,8 @@ from lodestone.session import cut, ship
 LENGTHS, BITS, DIM = (2, 3, 4), 14, 16
 #: Rows that are learned from, at most about: sampled by a hash of their id, in equal parts of each language.
 TRAIN_ROWS = 4000
+#: Languages that can be told apart: one column of the model and one branch of the sampling expression each. More raise an error.
+MAX_LANGS = 1000
 EPOCHS, RATE, BATCH = 12, 0.5, 32
 #: Share of the sample that only calibrates, and the accuracy that answers above the rejection threshold must reach on it.
 CALIBRATED, ACCURACY = 0.25, 0.99
@@ -102,10 +104,15 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def sample_of(docs: DataFrame) -> tuple[list[str], DataFrame]:
-    """Languages, and (lang, buckets, counts, part) of at most about TRAIN_ROWS rows, none held out, in equal parts of each language."""
+    """Languages, and (lang, buckets, counts, part) of at most about TRAIN_ROWS rows, none held out, in equal parts of each language.
+
+    More than MAX_LANGS languages raise, so that none is left out.
+    """
     ship(docs.sparkSession)
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(sizes)
     u = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.lit(0.0)
