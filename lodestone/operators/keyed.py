@@ -11,8 +11,8 @@ HOT_SHARE = 1 / 512
 HOT_ROWS = 1000
 
 
-def attach(facts: DataFrame, table: DataFrame, key: str, weight: str, total: int, table_key: str | None = None) -> DataFrame:
-    """``facts`` with the columns of ``table`` on equal, non-null ``key`` (inner join); ``table`` has one row per key.
+def attach(facts: DataFrame, table: DataFrame, key: str, weight: str, total: int, table_key: str | None = None, how: str = "inner") -> DataFrame:
+    """``facts`` with the columns of ``table`` on equal, non-null ``key`` (``how``: inner or left join); ``table`` has one row per key.
 
     ``weight`` is the column of ``table`` with the number of fact rows of its key, ``total`` the number of fact
     rows. Hot keys, of which there are at most 512, are broadcast; the rest meet in a shuffled join in which no
@@ -26,7 +26,7 @@ def attach(facts: DataFrame, table: DataFrame, key: str, weight: str, total: int
     cold = table.filter(F.col(weight) <= least)
     on = facts[key] == F.col("__key")
     if total <= least:
-        return facts.join(table, on).drop("__key")
+        return facts.join(table, on, how).drop("__key")
     direct = facts.join(F.broadcast(hot), on).drop("__key")
-    rest = facts.join(F.broadcast(hot.select("__key")), on, "left_anti").join(cold, on).drop("__key")
+    rest = facts.join(F.broadcast(hot.select("__key")), on, "left_anti").join(cold, on, how).drop("__key")
     return direct.unionByName(rest)
