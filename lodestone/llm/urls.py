@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.words import table
 from lodestone.operators.components import connected_components
+from lodestone.operators.keyed import attach
 from lodestone.session import cut
 
 
@@ -53,21 +54,55 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1), "^[\"']|[\"']$", "")
 
 
+#: What a browser does not read as tags, and a target of another kind than a page, like mailto:.
+UNREAD = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|$)"
+OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def folded(path: Column) -> Column:
+    """``path`` without its ``.`` and ``..`` segments."""
+    last = F.element_at(F.split(path, "/"), -1)
+    closed = F.when(last.isin(".", ".."), F.concat(path, F.lit("/"))).otherwise(path)
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.array_append(done, x))
+
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The url that ``target`` names on the page ``url``; null where it names no page.
+
+    Targets without a scheme are taken against the page: ``//host/x``, ``/x`` from the host, ``x`` and ``../x`` from the
+    folder of the page's path, ``?q`` and ``#f`` the page itself. Queries and fragments do not matter to a place and are cut there.
+    """
+    bare = F.regexp_extract(target, "^[^?#]*", 0)
+    here = F.concat(F.lit("http://"), host_of(url))
+    folder = F.regexp_replace(F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), "[^/]*$", "")
+    return (
+        F.when(target.contains("://") & target.rlike(OTHER_SCHEME), target)
+        .when(target.rlike(OTHER_SCHEME), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(bare == "", url)
+        .when(bare.startswith("/"), F.concat(here, folded(bare)))
+        .otherwise(F.concat(here, folded(F.concat(folder, bare))))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst): the page's own place and the place its canonical link or its meta refresh names, as host and path.
 
-    A target without a scheme is taken against the page's own host; relative paths that do not start with a slash
-    name no page here and are left out.
+    Tags within comments, scripts, styles, templates and noscript do not count. See resolved() for targets.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     # a cheap substring test keeps the patterns off pages without such a tag
     hinted = pages.filter(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    tags = hinted.select("url", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    tags = hinted.select("url", F.explode(F.regexp_extract_all(F.regexp_replace(html, UNREAD, " "), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
     canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1))
-    to = tags.select("url", F.coalesce(canonical, refresh).alias("to")).filter("to <> ''")
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), "to"))
-    return to.select(place(F.col("url")).alias("src"), place(full).alias("dst")).filter("src <> '' AND dst <> ''")
+    to = tags.select("url", F.trim(F.coalesce(canonical, refresh)).alias("to")).filter("to <> ''")
+    return to.select(place(F.col("url")).alias("src"), place(resolved(F.col("to"), F.col("url"))).alias("dst")).filter("src <> '' AND dst <> ''")
 
 
 def place(url: Column) -> Column:
@@ -93,17 +128,21 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
         if r.verdict == "block":
             blocking = blocking | (F.col("__r") == r.name)
     blocked = components.withColumn("__r", fitting(host, path, rules)).groupBy("component").agg(F.coalesce(F.bool_or(blocking), F.lit(False)).alias("blocked")).filter("blocked")
-    aliases = components.join(blocked, "component", "left").select(F.col("node").alias("__place"), F.col("component").alias("alias_of"), F.coalesce("blocked", F.lit(False)).alias("__blocked"))
+    sized = cut(components.groupBy("component").agg(F.count("*").alias("__n")).join(blocked, "component"))
+    aliases = attach(components, sized, "component", "__n", components.count(), how="left")
+    aliases = aliases.select(F.col("node").alias("__place"), F.col("component").alias("alias_of"), F.coalesce("blocked", F.lit(False)).alias("__blocked"))
     slim = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     slim = slim.withColumns({"rule": fitting(F.col("host"), F.col("path"), rules), "__p": F.concat("host", "path")})
     own = F.lit(None).cast("string")
     for r in rules:
         own = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(own)
-    joined = slim.join(aliases, F.col("__p") == F.col("__place"), "left")
+    crawled = slim.groupBy(F.col("__p").alias("__place")).agg(F.count("*").alias("__n"))  # one place may be crawled any number of times
+    joined = attach(slim, cut(aliases.join(crawled, "__place")), "__p", "__n", pages.count(), "__place", how="left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce(own, F.when(F.col("__blocked"), F.lit("block")), F.lit("allow")).alias("verdict"), "alias_of")
 
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's verdict; null urls have empty host and path and are allowed, repeated rows are judged alike."""
     return judge(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
@@ -117,14 +156,24 @@ WITH RECURSIVE p AS (
 ), rules(name, host, path, verdict) AS (
   VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
 ), tags AS (
-  SELECT host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'
+  SELECT host, path, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|$)', ' ', 'g'), '(?is)<script\b[^>]*>.*?(</script\s*>|$)|<style\b[^>]*>.*?(</style\s*>|$)|<template\b[^>]*>.*?(</template\s*>|$)|<noscript\b[^>]*>.*?(</noscript\s*>|$)', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'
 ), named AS (
   SELECT host, path, CASE
     WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN trim(regexp_extract(tag, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''')
     WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\s*=\s*[''"]?([^''"\s>]+)', 1) END AS target
   FROM tags
+), named_page AS (
+  SELECT host, path, trim(target) AS target, regexp_replace(trim(target), '[?#].*$', '', 's') AS bare FROM named WHERE trim(target) <> ''
+), rooted AS (
+  SELECT host, path, target, bare, CASE WHEN starts_with(bare, '/') THEN bare ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || bare END AS whole FROM named_page
 ), full_urls AS (
-  SELECT host || path AS src, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target END AS target FROM named
+  SELECT host || path AS src, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(target, '://') THEN target END
+    WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN bare = '' THEN 'http://' || host || path
+    ELSE 'http://' || host || array_to_string(list_reduce(list_transform(string_split(CASE WHEN regexp_matches(whole, '(^|/)[.][.]?$') THEN whole || '/' ELSE whole END, '/'), lambda x: [x]),
+      lambda done, x: CASE WHEN x[1] = '.' THEN done WHEN x[1] = '..' THEN CASE WHEN len(done) > 1 THEN done[1:len(done) - 1] ELSE done END ELSE done || x END), '/') END AS target
+  FROM rooted
 ), after AS (
   SELECT src, substr(target, strpos(target, '://') + 3) AS u FROM full_urls WHERE target IS NOT NULL
 ), edges AS (
