@@ -11,10 +11,11 @@ from lodestone.session import cut
 SHARDS = 8
 #: Rows of a range, about; a range of over twice as many is subdivided.
 RANGE_ROWS = 20_000
-#: Sampled keys per splitter, and the most splitters that one round draws. Together they bound what the driver gets: 2 MB of keys.
+#: Sampled keys per splitter, and the most splitters that one round draws. Together they bound what the driver gets: 7 MB of keys.
 PER_SPLITTER, MAX_SPLITTERS = 16, 4096
-#: A group of equal texts of up to this share of a shard stays in one shard; a larger one may be divided.
-WHOLE_GROUP = 0.01
+#: The law's tolerance: a shard's bytes may be off by this share of a shard. A group of equal texts of up to that size stays in one
+#: shard, as it moves each border by half of itself at most; a larger group is divided, since sizes must stay near equal.
+TOLERANCE = 0.01
 
 
 def _hex(x: Column) -> Column:
@@ -22,10 +23,14 @@ def _hex(x: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, group, key): key orders rows by text, then by a hash of the id; group is the text's part of it."""
+    """(doc_id, size, text_crc32, group, key): key orders rows by text, then by a hash of the id, then by a number of the row; group is the text's part of it.
+
+    No two rows share a key, so that any range can be divided.
+    """
     text = text_or_empty()
     df = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), _hex(F.xxhash64(text)).alias("group"))
-    return df.withColumn("key", F.concat("group", _hex(F.xxhash64(F.lit(6), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
+    by_id = F.xxhash64(F.lit(6), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return df.withColumn("key", F.concat("group", _hex(by_id), _hex(F.monotonically_increasing_id())))
 
 
 def _range_of(key: Column, splitters: list[str]) -> Column:
@@ -74,9 +79,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of near-equal bytes; slots count from 0 in each shard without gaps.
 
     Rows are in the order of ``key``; a row's shard is where the middle of its bytes, or of its group's if the group is
-    small, lies among ``shards`` equal parts of all bytes. So a shard is off by at most WHOLE_GROUP of a shard, or
-    half of the largest document, at either end. Size is the text's UTF-8 bytes plus 1 (null: 1). Within a range of
-    about RANGE_ROWS rows sums run in order; ranges are added up by their totals. Rows that repeat have slots of their own.
+    within TOLERANCE, lies among ``shards`` equal parts of all bytes. So a border is off by at most half of TOLERANCE of a shard, or
+    half of the largest document. Size is the text's UTF-8 bytes plus 1 (null: 1). Within a range of
+    about RANGE_ROWS rows sums run in order; ranges are added up by their totals, and so are groups that lie in several
+    ranges, of which there are at most as many as splitters. Rows that repeat have slots of their own; an empty table gives no rows.
     """
     base = cut(keyed(docs))
     total = base.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
@@ -89,8 +95,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     same = Window.partitionBy("range", "group")
     placed = base.join(ranges, "range")
     placed = placed.withColumns({"upto": F.col("s0") + F.sum("size").over(order), "place": F.col("n0") + F.row_number().over(order) - 1})
-    placed = placed.withColumns({"group_s": F.sum("size").over(same), "group_end": F.max("upto").over(same)})
-    whole = F.col("group_s") <= F.lit(WHOLE_GROUP * size / shards)
+    placed = cut(placed.withColumns({"group_s": F.sum("size").over(same), "group_end": F.max("upto").over(same)}))
+    ends = placed.groupBy("range").agg(F.min("group").alias("a"), F.max("group").alias("b"))  # only a range's first and last group can go on in another one
+    several = ends.select("range", F.explode(F.array_distinct(F.array("a", "b"))).alias("group")).groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    several = cut(placed.join(F.broadcast(several), "group").groupBy("group").agg(F.sum("size").alias("all_s"), F.max("upto").alias("all_end")))
+    placed = placed.join(F.broadcast(several), "group", "left").withColumns({"group_s": F.coalesce("all_s", "group_s"), "group_end": F.coalesce("all_end", "group_end")})
+    whole = F.col("group_s") <= F.lit(TOLERANCE * size / shards)
     middle = F.when(whole, F.col("group_end") - F.col("group_s") / 2).otherwise(F.col("upto") - F.col("size") / 2)
     placed = cut(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(float(max(size, 1)))).cast("int"))).select("doc_id", "size", "text_crc32", "shard", "place"))
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row per shard
