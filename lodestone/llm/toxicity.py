@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from lodestone.session import cut, ship
 TRAIN_ROWS = 6000
 #: A token is a word or one of its prefixes of these lengths: compounds share their first part.
 PREFIXES = (4, 5, 6, 7, 8)
+#: A word, as everywhere here; of lower-cased text.
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: The prior's mass as a share of all counts, the least z of a scoring token, and the most tokens of a model.
 PRIOR, LEAST_Z, MAX_TOKENS = 0.03, 2.3, 50_000
 #: Share of the sample that tokens are counted in; the rest calibrates.
@@ -45,34 +48,42 @@ class Model:
 
 
 def word_score(model: Model, word: str) -> float:
-    """The largest score of the word and its prefixes that are in the model, else the gap's."""
+    """The largest score of the word (of words()) and its prefixes that are in the model, else the gap's."""
     found = [s for k in PREFIXES if len(word) >= k and (s := model.scores.get(word[:k])) is not None]
     if (s := model.scores.get(word)) is not None:
         found.append(s)
     return max(found) if found else model.gap
 
 
+def words(text: str) -> list[str]:
+    """The tokenizer of training and scoring alike: lower-cased words between ASCII white space."""
+    return WORDS.findall(text.lower())
+
+
 def segments(scores: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) by Ruzzo and Tompa, in linear time; only positive places are walked."""
+    """All maximal scoring segments (first, last, score) by Ruzzo and Tompa, in linear time; only positive places are walked.
+
+    Each candidate knows the last one before it whose left sum is smaller, so that a search skips what an earlier search has passed.
+    """
     at = np.flatnonzero(scores > 0)
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before the segment, sum up to its end
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before the segment, sum up to its end, candidate with a smaller left sum
     total, seen = 0.0, 0
     for i, s in zip(at.tolist(), scores[at].tolist(), strict=True):
         total += gap * (i - seen)
         seen = i + 1
-        left, right = total, total + s
+        first, left, right = i, total, total + s
         total = right
-        first = i
-        while stack:
-            j = len(stack) - 1
+        j = len(stack) - 1
+        while True:
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
-            first, left = stack[j][0], stack[j][2]
+            first, left, before = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append((first, i, left, right))
-    return [(a, b, r - l) for a, b, l, r in stack]
+            j = before
+        stack.append((first, i, left, right, j))
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 class Scanner:
@@ -81,23 +92,43 @@ class Scanner:
         self.memo = Memo({}, lambda w: word_score(model, w))
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        words = text.lower().split()
-        scores = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
-        return len(words), segments(scores, self.model.gap)
-
-    def evidence(self, n: int, best: float) -> float:
-        """The best segment's normalised score less its expectation: of a Gumbel law in clean texts."""
-        return self.model.rate * best - np.log(self.model.size * max(n, 1))
-
-    def chance(self, n: int, best: float) -> float:
-        z = self.model.slope * self.evidence(n, best) + self.model.shift
+        found = words(text)
+        scores = np.fromiter(map(self.memo.__getitem__, found), np.float64, len(found))
+        return len(found), segments(scores, self.model.gap)
+
+    def evidence(self, n: int, scores: list[float]) -> float:
+        """Minus the logarithm of the chance that a clean text of ``n`` words has passages as good as these.
+
+        Normalised scores are rate * score - ln(size * n). The best one alone follows a Gumbel law. The sum t of the r
+        best ones reaches t with a chance of about e^-t t^(r-1) / (r! (r-1)!) (Karlin and Altschul, 1993). The least chance
+        over all r counts, and each further passage costs a factor of 2 for having been looked at.
+        """
+        base = np.log(self.model.size * max(n, 1))
+        x = np.sort(self.model.rate * np.array(scores or [0.0]) - base)[::-1]
+        x = np.concatenate([x[:1], x[1:][x[1:] > 0]])
+        if len(x) == 1:
+            return float(x[0])
+        r = np.arange(1, len(x) + 1)
+        t = np.cumsum(x)
+        log_factorial = np.cumsum(np.log(r))
+        return float((t - (r - 1) * np.log(np.maximum(t, 1)) + 2 * log_factorial - np.log(r) - (r - 1) * np.log(2)).max())
+
+    def chance(self, n: int, scores: list[float]) -> float:
+        z = self.model.slope * self.evidence(n, scores) + self.model.shift
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
 def _token_counts(docs: DataFrame) -> DataFrame:
     """(token, toxic, clean): documents of each class with the token; texts are counted word by word, words then spread to prefixes."""
-    words = docs.select("toxic", F.explode(F.array_distinct(word_array(F.lower(text_or_empty())))).alias("word"))
-    per_word = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [sorted(set(words(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
+
+    spread = docs.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>").select("toxic", F.explode("words").alias("word"))
+    per_word = spread.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     tokens = F.array_distinct(F.array_append(F.filter(F.array(*[F.when(F.length("word") > k, F.left("word", F.lit(k))) for k in PREFIXES]), lambda x: x.isNotNull()), F.col("word")))
     return per_word.select(F.explode(tokens).alias("token"), "toxic", "clean").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -133,18 +164,23 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _scan_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """(toxic, weight, n, best, hits) of labelled rows: words, best segment, words within segments."""
+    """(toxic, weight, n, best, evidence, hits) of labelled rows: words, best segment, evidence of all, words within segments."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["n", "best", "evidence", "hits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for batch in slices(batches):
-            got = [scanner.scan(t or "") for t in batch.column("text").to_pylist()]
-            hits = [sum(b - a + 1 for a, b, _ in s) for _, s in got]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array([n for n, _ in got], pa.int64()), pa.array([max((s[2] for s in g), default=0.0) for _, g in got], pa.float64()), pa.array(hits, pa.int64())], ["toxic", "weight", "n", "best", "hits"])
+            rows = []
+            for n, found in map(scanner.scan, (t or "" for t in batch.column("text").to_pylist())):
+                scores = [s for _, _, s in found]
+                rows.append((n, max(scores, default=0.0), scanner.evidence(n, scores), sum(b - a + 1 for a, b, _ in found)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["toxic", "weight", *names])
 
-    return docs.select("text", "toxic", "weight").mapInArrow(run, "toxic int, weight double, n bigint, best double, hits bigint")
+    return docs.select("text", "toxic", "weight").mapInArrow(run, "toxic int, weight double, n bigint, best double, evidence double, hits bigint")
 
 
 def _rate(pairs: list[tuple[float, float]], gap: float) -> float:
@@ -163,7 +199,10 @@ def _rate(pairs: list[tuple[float, float]], gap: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from a bounded sample of labelled rows; without rows of both classes it calls nothing toxic."""
+    """A model from a bounded sample of labelled rows; without a token that tells the classes apart it calls nothing toxic.
+
+    The rows that are not counted calibrate: clean ones give the extreme-value law its size, then all of them the logistic.
+    """
     sample = sample_of(docs, labels)
     counts = cut(_token_counts(sample.filter(F.col("part") < COUNTED)))
     odds = cut(_log_odds(counts))
@@ -171,21 +210,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model({r.token: min(MOST, float(r.odds)) for r in top})
     if not top:
         return Model({}, slope=0.0, shift=-20.0)
-    words = {0: 0, 1: 0}
-    hits = {0: 0, 1: 0}
+    n_words, hits = {0: 0, 1: 0}, {0: 0, 1: 0}
     seen = _scan_rows(sample, Model(model.scores, gap=-1e9)).groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()
     for r in seen:  # with so large a gap, a segment is a run of scoring words
-        words[r.toxic], hits[r.toxic] = r.n or 0, r.hits or 0
-    share = {k: (hits[k] + 0.5) / (words[k] + 1.0) for k in words}
+        n_words[r.toxic], hits[r.toxic] = r.n or 0, r.hits or 0
+    share = {k: (hits[k] + 0.5) / (n_words[k] + 1.0) for k in n_words}
     model.gap = float(np.clip(np.log(1 - min(share[1], 0.9)) - np.log(1 - share[0]), -0.5, -0.02))
     mean = float(np.mean(list(model.scores.values())))
     model.rate = _rate([(mean, min(share[0], 0.5 * -model.gap / (mean - model.gap)))], model.gap)
-    rows = [(r.toxic, r.n, r.best, r.weight) for r in _scan_rows(sample.filter(F.col("part") >= COUNTED), model).collect()]
-    clean = [(n, b) for t, n, b, _ in rows if not t]
+    rest = sample.filter(F.col("part") >= COUNTED)
+    clean = [(r.n, r.best) for r in _scan_rows(rest.filter("toxic = 0"), model).select("n", "best").collect()]
     model.size = float(np.clip(len(clean) / max(sum(n * np.exp(-model.rate * b) for n, b in clean), 1e-9), 1e-9, 1e3)) if clean else 1.0
-    scanner = Scanner(model)
-    x = np.array([scanner.evidence(n, b) for _, n, b, _ in rows])
-    y = np.array([t for t, *_ in rows], float)
+    rows = sorted((r.toxic, r.evidence, r.weight) for r in _scan_rows(rest, model).collect())
+    x, y = np.array([e for _, e, _ in rows]), np.array([t for t, *_ in rows], float)
     if len(set(y.tolist())) == 2:
         model.slope, model.shift = _logistic(x, y, np.array([w for *_, w in rows]))
     else:
@@ -211,10 +248,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted, passages) of every row; whole texts are scanned, null ones count as empty.
+    """(doc_id, held_out, score, predicted, passages) of every row; whole texts are scanned.
 
     ``passages``: every significant segment (first and last word, score, expected number by chance). The score is the
-    calibrated chance of the label, from the best segment's evidence.
+    calibrated chance of the label, from the evidence of all passages together. Null and empty texts have no passage and the
+    score of a text without evidence. A row depends on its text alone: repeated rows score alike, and rows without doc_id are not held out.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -228,7 +266,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             chances, passages = [], []
             for t in batch.column("__text").to_pylist():
                 n, found = scanner.scan(t)
-                chances.append(scanner.chance(n, max((s for _, _, s in found), default=0.0)))
+                chances.append(scanner.chance(n, [s for _, _, s in found]))
                 expected = [(a, b, s, float(m.size * max(n, 1) * np.exp(-m.rate * s))) for a, b, s in found]
                 passages.append([{"first": a, "last": b, "score": s, "e_value": e} for a, b, s, e in expected if e <= E_VALUE])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(chances, pa.float64()), pa.array([int(c >= 0.5) for c in chances], pa.int32()), pa.array(passages, passage)], ["doc_id", "held_out", "score", "predicted", "passages"])
@@ -238,5 +276,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document, learned from the labelled rows that are not held out; see score() for nulls, empty texts and repeats."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return score(docs, train(docs, table(spark, folder, "labels").select("doc_id", "toxic")))
