@@ -32,7 +32,7 @@ class Rule:
 
 #: The verdict's thresholds; measures are the columns of measures(). Ratios are null, and pass, where their divisor is 0.
 THRESHOLDS = (
-    Rule("length", "n_words", 50, 1_000_000),
+    Rule("length", "n_words", 50, None),
     Rule("word_length", "mean_word_chars", 1.5, 30.0),
     Rule("symbols", "symbol_ratio", None, 0.1),
     Rule("stop_words", "stop_ratio", 0.01, None),
@@ -128,7 +128,10 @@ def op5_quality(spark, folder: str) -> DataFrame:
 
 
 def keep(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: documents that pass; rows and columns are otherwise unchanged."""
+    """Pipeline stage: documents that pass; rows and columns are otherwise unchanged.
+
+    Null and empty texts have no words and fail. Texts of any length are judged whole; repeated rows pass or fail alike. An empty table stays empty.
+    """
     return judge(docs).filter("__kept AND __pin >= 0").select(*docs.columns)
 
 
@@ -149,6 +152,6 @@ WITH w AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000 AND word_chars::DOUBLE / n_words BETWEEN 1.5 AND 30 AND n_symbols::DOUBLE / n_words <= 0.1 AND n_stop::DOUBLE / n_words >= 0.01 AND n_dup_lines::DOUBLE / n_lines <= 0.7 AND n_repeat_words::DOUBLE / n_words <= 0.5 AS kept
+  NOT base_failed AND word_chars::DOUBLE / n_words BETWEEN 1.5 AND 30 AND n_symbols::DOUBLE / n_words <= 0.1 AND n_stop::DOUBLE / n_words >= 0.01 AND n_dup_lines::DOUBLE / n_lines <= 0.7 AND n_repeat_words::DOUBLE / n_words <= 0.5 AS kept
 FROM f
 """.replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
