@@ -42,6 +42,13 @@ def test_quality(spark, make):
     assert quality.keep(spark, docs, "").columns == docs.columns
 
 
+def test_quality_has_no_longest_text(spark):
+    """A text of 1.2 million words is judged by its ratios like any other."""
+    words = [f"{w}{i}" if i % 7 else "the" for i, w in enumerate(["word", "other", "thing"] * 400_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    assert quality.keep(spark, docs, "").count() == 1
+
+
 def test_quality_keeps_what_is_labelled_good(spark):
     from cases import FOLDER
 
@@ -93,6 +100,26 @@ def test_index_persists(spark, tmp_path):
     assert "SortMergeJoin" in plan and "SelectedBucketsCount: 4 out of 4" in plan
 
 
+def test_index_order_is_used(spark, tmp_path):
+    """After appends the index is never shuffled; after a compaction it is not sorted either, and holds the same rows."""
+    index = exact.DigestIndex.open(spark, f"file://{tmp_path}/index", 4)
+    batch = lambda lo, hi: exact.groups_of(exact.digest_rows(spark.range(lo, hi).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))))
+    plan = lambda: index.unseen(batch(0, 5))._jdf.queryExecution().executedPlan().toString()
+    for k in range(3):
+        assert index.admit(batch(100 * k, 100 * k + 150)).count() == (150 if k == 0 else 100)
+    appended, before = plan(), sorted(map(tuple, index.table().collect()))
+    index.compact()
+    compacted = plan()
+    assert len(before) == 350 and sorted(map(tuple, index.table().collect())) == before
+    count = lambda p, what: len(re.findall(rf"\b{what}\b", p))
+    assert count(compacted, "Exchange") == count(appended, "Exchange") and count(compacted, "Sort") == count(appended, "Sort") - 1
+    assert index.unseen(batch(0, 400)).count() == 50
+    index.COMPACT_AFTER = 2
+    assert index.admit(batch(300, 400)).count() == 50 and index.version == 2 and index.table().count() == 400
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
 @pytest.mark.parametrize("make", [awkward, documents, empty])
 def test_token_counts(spark, make):
     docs = make(spark)

@@ -42,6 +42,85 @@ def test_segments_are_maximal():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+def test_segments_in_linear_time():
+    """Falling totals with many candidates on the stack: twice the hits take about twice the time, and a million take seconds."""
+    import time
+
+    spent = {}
+    for n in (250_000, 1_000_000):
+        scores = np.full(20 * n, -0.5)
+        scores[::20] = 1.0
+        began = time.process_time()
+        assert len(toxicity.segments(scores, -0.5)) == n
+        spent[n] = time.process_time() - began
+    assert spent[1_000_000] < 20 and spent[1_000_000] < 10 * max(spent[250_000], 0.2)
+
+
+def test_one_tokenizer():
+    assert toxicity.words("Kill\u00a0Idiot\x0bÉTÉ  x\x1cy\n") == ["kill\u00a0idiot", "été", "x\x1cy"] and toxicity.words("") == []
+
+
+def test_toxicity_by_brute_force(spark):
+    """Token log-odds, the law's numbers and every score of short texts, by plain Python from the definitions."""
+    import collections
+    import math
+    import re
+
+    docs, labels = documents(spark, "/root/testdata/sf0.1").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels)
+    split = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
+    sample = toxicity.sample_of(docs, labels).collect()
+    n = {0: collections.Counter(), 1: collections.Counter()}
+    for r in sample:
+        if r.part < toxicity.COUNTED:
+            per_word = {w: {w} | {w[:k] for k in toxicity.PREFIXES if len(w) > k} for w in set(split(r.text.lower()))}
+            n[r.toxic].update(t for tokens in per_word.values() for t in tokens)
+    total = {k: sum(c.values()) for k, c in n.items()}
+    mass = max(toxicity.PRIOR * sum(total.values()), 1.0)
+    want = {}
+    for t in n[0].keys() | n[1].keys():
+        prior = (n[0][t] + n[1][t]) / sum(total.values()) * mass
+        a, b = n[1][t] + prior, n[0][t] + prior
+        odds = math.log(a / (total[1] + mass - a)) - math.log(b / (total[0] + mass - b))
+        if odds > 1 and odds / math.sqrt(1 / a + 1 / b) >= toxicity.LEAST_Z:
+            want[t] = min(toxicity.MOST, odds)
+    assert 0 < len(want) <= toxicity.MAX_TOKENS and model.scores.keys() == want.keys()
+    assert all(math.isclose(model.scores[t], s, rel_tol=1e-9) for t, s in want.items())
+
+    def found(text):
+        w = split((text or "").lower())
+        tokens = [[x, *(x[:k] for k in toxicity.PREFIXES)] for x in w]
+        return len(w), [s for _, _, s in brute_segments([max((want[t] for t in ts if t in want), default=model.gap) for ts in tokens])]
+
+    def evidence(length, scores):
+        base = math.log(model.size * max(length, 1))
+        x = sorted((model.rate * s - base for s in scores), reverse=True) or [-base]
+        best, t = x[0], x[0]
+        for r in range(2, len(x) + 1):
+            if x[r - 1] <= 0:
+                break
+            t += x[r - 1]
+            best = max(best, t - (r - 1) * math.log(max(t, 1)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        return best
+
+    few = docs.filter("size(split(text, ' ')) <= 60").limit(60).unionByName(awkward(spark).filter("text IS NULL OR length(text) < 400").select("doc_id", "text"))
+    rows = toxicity.score(few.union(few), model).collect()
+    texts = collections.Counter()
+    by_text = {}
+    for r in few.collect():
+        length, scores = found(r.text)
+        z = model.slope * evidence(length, scores) + model.shift
+        by_text[r.doc_id, r.text] = 1 / (1 + math.exp(-max(-60, min(60, z))))
+        texts[r.doc_id, round(by_text[r.doc_id, r.text], 9)] += 2
+    assert collections.Counter((r.doc_id, round(r.score, 9)) for r in rows) == texts and any(r.predicted for r in rows)
+
+
+def test_several_passages_count_together():
+    scanner = toxicity.Scanner(toxicity.Model({}, gap=-0.1, rate=1.0, size=0.1))
+    one, three = scanner.evidence(100, [6.0]), scanner.evidence(100, [6.0, 6.0, 6.0])
+    assert one == pytest.approx(6 - np.log(10)) and three > one and scanner.evidence(100, [6.0, 1.0]) == one and scanner.evidence(0, []) == pytest.approx(-np.log(0.1))
+
+
 def test_toxicity_held_out(spark):
     docs = documents(spark, LARGER).select("doc_id", "text")
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
@@ -73,6 +152,44 @@ def test_langid_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in kept) / len(kept) > 0.99
 
 
+def test_langid_by_brute_force(spark):
+    """Every score from the trained model, subword by subword in plain Python."""
+    import collections
+    import math
+    import unicodedata
+
+    docs = awkward(spark).select("doc_id", "text", "lang").unionByName(documents(spark).select("doc_id", "text", "lang").limit(120)).filter("text IS NULL OR length(text) < 3000")
+    model = langid.train(documents(spark))
+    is_letter = lambda c: unicodedata.category(c)[0] == "L"
+
+    def bucket(gram):
+        h = len(gram)
+        for c, m in zip(gram, langid.MULTIPLIERS, strict=False):
+            h = ((h ^ (ord(c) if is_letter(c) else 0)) * m) & 0xFFFFFFFF
+            h ^= h >> 15
+        return h >> (32 - langid.BITS)
+
+    def answer(text):
+        if not any(is_letter(c) for c in text or ""):
+            return "und", 0.0
+        t = f"\n{text.lower()}\n"
+        grams = []
+        for n in langid.LENGTHS:
+            for i in range(len(t) - n + 1):
+                g = t[i : i + n]
+                if all(map(is_letter, g[1:-1])) if n > 2 else any(map(is_letter, g)):
+                    grams.append(bucket(g))
+        z = [b / model.temperature for b in model.bias]
+        for k in range(len(z)):
+            z[k] += sum(float(model.logits[g, k]) for g in grams) / max(len(grams), 1) / model.temperature
+        e = [math.exp(x - max(z)) for x in z]
+        return model.langs[e.index(max(e))], round(max(e) / sum(e), 6)
+
+    rows = langid.identify(docs, model).collect()
+    want = collections.Counter((r.doc_id, *answer(r.text)) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in rows) == want
+
+
 def test_langid_awkward(spark):
     docs = awkward(spark)
     rows = langid.identify(docs, langid.train(docs)).collect()
