@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import similar
-from lodestone.llm.words import slices, table, text_or_empty
+from lodestone.llm.words import bounded, slices, table, text_or_empty
 from lodestone.operators.components import connected_components
 from lodestone.operators.keyed import attach
 from lodestone.session import cut, ship
@@ -247,18 +247,18 @@ def keep(spark: SparkSession, docs: DataFrame, folder: str, words: int = similar
     """Pipeline stage: of each group of near copies, the row with the least doc_id stays (null ids after all others).
 
     Near copies have a Jaccard similarity of at least ``similarity`` over shingles of ``words`` words. Fingerprints do not
-    serve here: at 0.8 they differ by up to 17 bits, a radius at which vantage-point trees leave out nothing.
+    serve here, see similar.py. Null and empty texts are one group. Rows that stay are not moved; an empty table stays empty.
     Where rows that stay share a doc_id, one of each group stays, the smallest by its columns as JSON.
     """
     rows = cut(similar.near_groups(docs, words, similarity))
-    per_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    mine = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "component_id")
-    kept = cut(mine.join(per_id, rows["doc_id"].eqNullSafe(per_id["doc_id"])).select(mine["doc_id"].alias("__id"), "fp", "component_id", "n"))
-    once = kept.filter("n = 1").select("__id")
-    single = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    several = kept.filter("n > 1")
-    if not several.count():
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per_id = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.bool_or(stays).alias("stays"))
+    per_id = cut(per_id.filter("n > 1 OR NOT stays"))  # most rows are not among these, and stay where they are
+    single = docs.join(bounded(per_id.select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    repeated = per_id.filter("n > 1 AND stays").select("__id")
+    if not repeated.count():
         return single
+    several = rows.filter(stays).join(bounded(repeated), F.col("doc_id").eqNullSafe(F.col("__id")))
     ids = several.select("__id", "fp", "component_id").distinct()
     again = docs.join(ids.select(F.col("__id").alias("__i")).distinct(), F.col("doc_id").eqNullSafe(F.col("__i")), "left_semi")
     carried = again.withColumn("__row", F.struct(*[F.col(c) for c in docs.columns])).select("__row", F.to_json("__row").alias("__json"))
