@@ -55,7 +55,19 @@ def edited(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize("make", [edited, awkward, documents, empty])
+def long_edited(spark):
+    """Families of long texts, copies up to a third longer, so that sizes and lengths of parities differ within a family."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    rows = []
+    for size in (250, 1000, 1020, 4000):
+        base = [word() for _ in range(size)]
+        for copy in range(8):
+            rows.append((len(rows), " ".join(base + [word() for _ in range(size * copy // 24)])))
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("make", [edited, long_edited, awkward, documents, empty])
 def test_stage_leaves_one_of_each_group(spark, make):
     docs = make(spark).filter("doc_id IS NOT NULL")
     left = simhash.keep(spark, docs, "")
