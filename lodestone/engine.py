@@ -160,18 +160,19 @@ class Engine:
         code = pycode.first_of_each(parsed)
         checked, reports = self.extract(others)
         found = self.registry.first("candidate_builder", extract.objects)(checked, project)
-        shape = lambda df, uri: df.select("id", "type", "title", "description", "content", F.col(uri).alias("source_uri"), F.lit(1.0).alias("confidence"), F.lit(project).alias("project_id"))
-        inner = shape(code.withColumns({"type": F.lit("component"), "description": F.col("title")}), "relative_path").unionByName(shape(found, "source_uri"))
+        shape = lambda df, uri, custom="map()": df.select("id", "type", "title", "description", "content", F.col(uri).alias("source_uri"), F.lit(1.0).alias("confidence"), F.lit(project).alias("project_id"), F.expr(custom).cast("map<string,string>").alias("metadata"))
+        named = "map_filter(map('language', 'python', 'name', regexp_extract(id, '[^/.]+$', 0), 'full_name', if(id LIKE '%/func/%', substring_index(id, '/', -1), null)), (k, v) -> v IS NOT NULL)"
+        inner = shape(code.withColumns({"type": F.lit("component"), "description": F.col("title")}), "relative_path", named).unionByName(shape(found, "source_uri"))
         inner = cut(inner)
         # files that hold nothing and are no targets stay out of the graph
         holders = files.join(inner.select(F.col("source_uri").alias("relative_path")).distinct(), "relative_path", "left_semi")
-        outer = shape(holders.select("id", F.col("object_type").alias("type"), "title", "description", F.lit(None).cast("string").alias("content"), "relative_path"), "relative_path")
+        outer = shape(holders.select("id", F.col("object_type").alias("type"), "title", "description", F.lit(None).cast("string").alias("content"), "relative_path", "category"), "relative_path", "map('relative_path', relative_path, 'category', category)")
         objects = cut(outer.unionByName(inner))
         links = extract.contains(holders, inner).select("id", "relationship_type", "source_id", "target_id")
         imports = extract.resolve_imports(pycode.parse_imports(python), artifacts, holders)
         depends = imports.select(F.concat(F.lit("depends_on:"), "source_id", F.lit("->"), "target_id").alias("id"), F.lit("depends_on").alias("relationship_type"), "source_id", "target_id")
         relationships = cut(links.unionByName(depends))
-        nodes = objects.select("id", F.col("id").alias("object_id"), "type", "title", F.array("type").alias("labels"), F.struct("type", F.lit(None).cast("string").alias("domain"), "project_id", F.lit("draft").alias("lifecycle"), "confidence", F.col("source_uri").alias("source"), F.array().cast("array<string>").alias("tags"), "title", "description").alias("properties"))
+        nodes = objects.select("id", F.col("id").alias("object_id"), "type", "title", F.array("type").alias("labels"), F.struct("type", F.lit(None).cast("string").alias("domain"), "project_id", F.lit("draft").alias("lifecycle"), "confidence", F.col("source_uri").alias("source"), F.array().cast("array<string>").alias("tags"), "title", "description").alias("properties"), "metadata")
         edges = relationships.withColumns({"directed": ~F.col("relationship_type").isin(list(schemas.UNDIRECTED)), "relationship_id": F.col("id")})
         nodes, edges = cut(nodes), cut(edges)
         checks = [graph.validate(nodes, edges, self.types("relationship"))]
@@ -248,6 +249,6 @@ class Engine:
     def load_graph(self, root: str | Path) -> tuple[DataFrame, DataFrame]:
         from lodestone.sources.catalog import graph_from_jsonl
 
-        nodes = "id string, object_id string, type string, title string, labels array<string>, properties struct<type: string, domain: string, project_id: string, lifecycle: string, confidence: double, source: string, tags: array<string>, title: string, description: string>"
+        nodes = "id string, object_id string, type string, title string, labels array<string>, properties struct<type: string, domain: string, project_id: string, lifecycle: string, confidence: double, source: string, tags: array<string>, title: string, description: string>, metadata map<string, string>"
         edges = "id string, relationship_type string, source_id string, target_id string, directed boolean, relationship_id string"
         return graph_from_jsonl(self.spark, f"file://{self.workspace(root).path('graph/graph.jsonl')}", nodes, edges)

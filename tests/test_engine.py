@@ -106,6 +106,10 @@ def test_analyze(spark, project):
     assert kinds == {"KnowledgeType", "RelationshipType", "EvidenceType", "KnowledgeObject", "KnowledgeRelationship", "metadata"}
     found, _ = engine.query(graph.GraphQuery(node_type="decision"), nodes, again)
     assert found.count() >= 1
+    for known in (a.nodes, nodes):  # as analysed, and as loaded
+        found, _ = engine.query(graph.GraphQuery(metadata={"language": "python", "full_name": "K.m"}), known, again)
+        assert [r.id for r in found.collect()] == ["ku://comp/pkg.a/func/K.m"]
+    assert objects["ku://file/pkg/a.py"].metadata["relative_path"] == "pkg/a.py" and objects["ku://comp/pkg.a/class/K"].metadata == {"language": "python", "name": "K"}
 
 
 def test_command_line(spark, project, capsys):
