@@ -27,15 +27,6 @@ def slices(batches: Iterable, rows: int = SLICE_ROWS) -> Iterator:
 BROADCAST_ROWS = 300_000
 
 
-def bounded(ids: DataFrame) -> DataFrame:
-    """``ids`` (materialised rows of one or two numbers) for a join: broadcast if they are few, shuffled otherwise."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
-#: Rows of one or two numbers that are broadcast at most, about 16 MB as a hash table.
-BROADCAST_ROWS = 300_000
-
-
 def bounded(ids: DataFrame) -> DataFrame:
     """``ids`` (materialised rows of one or two numbers) for a join: broadcast if they are few, shuffled otherwise."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
