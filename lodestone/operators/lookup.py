@@ -31,23 +31,27 @@ def primary_source(sources: Column) -> Column:
     return F.try_element_at(sources, F.lit(1))
 
 
-def posting_lists(nodes: DataFrame) -> DataFrame:
-    """(attribute, value, ids): the nodes of each value of the attributes that queries filter by.
-
-    For inspection: queries filter the nodes themselves. A value that most nodes share has a list of as many ids.
-    """
+def _postings(nodes: DataFrame) -> DataFrame:
+    """(id, attribute, value), each once."""
     p = lambda k: F.col(f"properties.{k}")
     pairs = F.concat(
         F.transform("labels", lambda t: F.struct(F.lit("tag").alias("a"), t.alias("v"))),
         F.array(*[F.struct(F.lit(a).alias("a"), c.alias("v")) for a, c in (("type", F.col("type")), ("domain", p("domain")), ("source", p("source")), ("lifecycle", p("lifecycle")), ("project_id", p("project_id")))]),
     )
-    rows = nodes.select("id", F.explode(pairs).alias("x")).filter("x.v <> ''").distinct()
-    return rows.groupBy(F.col("x.a").alias("attribute"), F.col("x.v").alias("value")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return nodes.select("id", F.explode(pairs).alias("x")).filter("x.v <> ''").distinct().select("id", F.col("x.a").alias("attribute"), F.col("x.v").alias("value"))
+
+
+def posting_lists(nodes: DataFrame) -> DataFrame:
+    """(attribute, value, ids): the nodes of each value of the attributes that queries filter by.
+
+    For inspection: queries filter the nodes themselves. A value that most nodes share has a list of as many ids.
+    """
+    return _postings(nodes).groupBy("attribute", "value").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def posting_sizes(nodes: DataFrame) -> DataFrame:
-    """(attribute, value, n) without the lists."""
-    return posting_lists(nodes).select("attribute", "value", F.size("ids").cast("long").alias("n"))
+    """(attribute, value, n) without the lists: counts that are added up before the shuffle."""
+    return _postings(nodes).groupBy("attribute", "value").agg(F.count("*").alias("n"))
 
 
 def type_registry(dimension: DataFrame, more: DataFrame) -> DataFrame:
