@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import cypher_string, dot_label, dot_quote
 from lodestone.operators.components import connected_components
+from lodestone.operators.keyed import dimension
 from lodestone.session import cut
 
 # ---- building -----------------------------------------------------------------------------------------------------
@@ -33,7 +34,7 @@ def edges_of(relationships: DataFrame, relationship_types: DataFrame, known: Dat
     here = relationship_types.select(F.col("id").alias("relationship_type"), F.col("directed").alias("__d1"))
     there = (known if known is not None else relationship_types).select(F.col("id").alias("relationship_type"), F.col("directed").alias("__d2"))
     df = relationships.filter("from_ref.kind = 'knowledge_object' AND to_ref.kind = 'knowledge_object'")
-    df = df.join(F.broadcast(here.dropDuplicates(["relationship_type"])), "relationship_type", "left").join(F.broadcast(there.dropDuplicates(["relationship_type"])), "relationship_type", "left")
+    df = df.join(dimension(here.dropDuplicates(["relationship_type"])), "relationship_type", "left").join(dimension(there.dropDuplicates(["relationship_type"])), "relationship_type", "left")
     properties = F.struct(F.col("confidence.value").alias("confidence"), F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("evidence_count"), F.lit(False).alias("synthetic"))
     return df.select("id", "relationship_type", F.col("from_ref.ref").alias("source_id"), F.col("to_ref.ref").alias("target_id"), F.coalesce("__d1", "__d2", F.lit(True)).alias("directed"), properties.alias("properties"), F.col("id").alias("relationship_id"))
 
@@ -425,13 +426,15 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
     """(source_id, target_id, relationship_type, n, edge_ids) of edges that repeat; undirected ones are equal either way around."""
     a = F.when(F.col("directed"), F.col("source_id")).otherwise(F.least("source_id", "target_id"))
     b = F.when(F.col("directed"), F.col("target_id")).otherwise(F.greatest("source_id", "target_id"))
-    grouped = edges.select(a.alias("source_id"), b.alias("target_id"), "relationship_type", "id").groupBy("source_id", "target_id", "relationship_type")
-    return grouped.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("edge_ids")).filter("n > 1")
+    keyed = edges.select(a.alias("source_id"), b.alias("target_id"), "relationship_type", "id")
+    key = ["source_id", "target_id", "relationship_type"]
+    repeated = keyed.withColumn("n", F.count("*").over(Window.partitionBy(*key))).filter("n > 1")  # lists are made of these only, in the same partitions
+    return repeated.groupBy(*key, "n").agg(F.array_sort(F.collect_list("id")).alias("edge_ids"))
 
 
 def relationship_typing(nodes: DataFrame, edges: DataFrame, relationship_types: DataFrame) -> DataFrame:
-    """Errors of edges whose type is unknown, or whose ends have types that it does not allow; synthetic edges are not checked."""
-    types = F.broadcast(relationship_types.select(F.col("id").alias("relationship_type"), "allowed_from_types", "allowed_to_types", F.lit(True).alias("known")))
+    """Errors of edges whose type is unknown, or whose ends have types that it does not allow; synthetic edges are checked like all others."""
+    types = dimension(relationship_types.select(F.col("id").alias("relationship_type"), "allowed_from_types", "allowed_to_types", F.lit(True).alias("known")))
     df = edges.join(types, "relationship_type", "left")
     unknown = _diagnostic(df.filter("known IS NULL"), "error", "invalid_relationship_type", F.concat(F.lit("unknown relationship type: "), "relationship_type"), F.col("id"))
     limited = df.filter("size(allowed_from_types) > 0 OR size(allowed_to_types) > 0")

@@ -1,4 +1,4 @@
-"""Joins of a fact side with a table that has one row per key, where a few keys may hold a large share of the facts."""
+"""Joins of a fact side with a table that has one row per key, which is small or has keys that hold a large share of the facts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 512
 #: Below so many rows a key is never hot.
 HOT_ROWS = 1000
+#: Rows of a dimension, such as a table of types, that are broadcast at most.
+DIMENSION_ROWS = 10_000
+
+
+def dimension(table: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
+    """``table`` for a join: marked to be broadcast if it has at most ``rows`` rows, which are counted; as it is otherwise."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def attach(facts: DataFrame, table: DataFrame, key: str, weight: str, total: int, table_key: str | None = None, how: str = "inner") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.operators.keyed import dimension
 
 
 def _report(df: DataFrame, condition: Column, level: str, code: str, message, ref: str = "id") -> DataFrame:
@@ -42,7 +43,7 @@ def check_types(objects: DataFrame, types: DataFrame) -> DataFrame:
     ``content`` is JSON text; a content schema has ``required`` and one level of ``properties.<name>.type``. Types are a small, registered
     dimension: those with a schema are compiled into conditions.
     """
-    joined = objects.join(F.broadcast(types.select(F.col("id").alias("type"), F.lit(True).alias("known")).dropDuplicates(["type"])), "type", "left")
+    joined = objects.join(dimension(types.select(F.col("id").alias("type"), F.lit(True).alias("known")).dropDuplicates(["type"])), "type", "left")
     reports = [_report(joined, F.col("known").isNull(), "error", "unknown_knowledge_type", F.concat(F.lit("unknown type: "), "type"))]
     value = F.try_parse_json("content")
     kind_of = lambda v: F.schema_of_variant(v)
@@ -72,9 +73,9 @@ def _is_type(kind: Column, wanted: str) -> Column:
 def check_relationships(relationships: DataFrame, objects: DataFrame, types: DataFrame) -> DataFrame:
     """unknown_relationship_type, missing_relationship_endpoint, invalid_from_type, invalid_to_type.
 
-    ``relationships``: id, relationship_type, from_id, to_id. Objects meet by equi-joins, types by a broadcast of their small table.
+    ``relationships``: id, relationship_type, from_id, to_id. Objects meet by equi-joins, types by a broadcast where their table is small.
     """
-    t = F.broadcast(types.select(F.col("id").alias("relationship_type"), "allowed_from_types", "allowed_to_types", F.lit(True).alias("known")))
+    t = dimension(types.select(F.col("id").alias("relationship_type"), "allowed_from_types", "allowed_to_types", F.lit(True).alias("known")))
     kinds = objects.select(F.col("id").alias("o"), F.col("type").alias("k"))
     df = relationships.join(t, "relationship_type", "left")
     for side in ("from", "to"):

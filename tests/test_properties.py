@@ -4,10 +4,11 @@ import collections
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.operators import discovery, graph
 from lodestone.operators.components import connected_components
-from lodestone.operators.keyed import attach
+from lodestone.operators.keyed import attach, dimension
 
 FEW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 NAMES = [f"n{i}" for i in range(9)]
@@ -137,3 +138,19 @@ def test_globs():
     for pattern in ["*.py", "*", "?", "[a]*", "[!a]*", "x[[]1]", "[", "[]]", "a[]-]b", "a?b", "[^a]*", ".*", "*.tar.gz", "[a-c]bc", "[!x]"]:
         for n in names:
             assert bool(re.match(glob_regex(pattern), n)) == fnmatch.fnmatchcase(n, pattern), (pattern, n)
+
+
+def test_dimension_is_broadcast_only_below_its_bound(spark):
+    facts = spark.range(50).withColumnRenamed("id", "k")
+    types = spark.range(20).withColumnRenamed("id", "k")
+    for rows, hinted in ((19, False), (20, True)):
+        joined = facts.join(dimension(types, rows), "k")
+        assert ("broadcast" in joined._jdf.queryExecution().logical().toString().lower()) == hinted
+        assert joined.count() == 20
+
+
+def test_duplicate_edges_lists_only_repeated_ones(spark):
+    rows = [("a", "x", "y", "t", True), ("b", "y", "x", "t", True), ("c", "x", "y", "t", True), ("d", "x", "y", "u", False), ("e", "y", "x", "u", False), ("f", "x", "z", None, True), ("g", "x", "z", None, True)]
+    edges = spark.createDataFrame(rows, "id string, source_id string, target_id string, relationship_type string, directed boolean")
+    got = {tuple(r) for r in graph.duplicate_edges(edges).select("source_id", "target_id", "relationship_type", "n", F.array_join("edge_ids", ",")).collect()}
+    assert got == {("x", "y", "t", 2, "a,c"), ("x", "y", "u", 2, "d,e"), ("x", "z", None, 2, "f,g")}
