@@ -25,6 +25,11 @@ SHARD = 8192
 MAX_DEPTH = 16
 #: Home points of a leaf of the trees within shards, and pairs that are held before they are merged into classes.
 LEAF, HELD = 128, 2_000_000
+#: The pipeline's stage: bits of the first 64 in which near copies may differ, and of all 128. See the README for what they reach.
+NEAR, NEAR_BOTH = 14, 28
+#: At this radius nearly every point visits every shard of its band, so the stage's upper tree has 2 ** NEAR_DEPTH leaves at any size:
+#: the copies of a point stay as many, about 1.5 times the leaves.
+NEAR_DEPTH = 3
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
@@ -42,12 +47,7 @@ def fingerprint(text: str, words: int = 3) -> int:
         return 0
     n = max(1, len(w) - words + 1)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        block = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return similar.majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> DataFrame:
@@ -101,9 +101,18 @@ def upper_tree(sample: np.ndarray, depth: int):
 def place(tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(leaf, index of the point, at home) for each leaf that a point's ball of ``radius`` can reach.
 
-    By the triangle inequality the ball misses the inner side if d - radius > mu, and the outer one if d + radius <= mu.
     Visits go only to leaves after the point's home: of two linked points in different leaves, the earlier one visits.
     """
+    leaf, at, own, home = reached(tree, points, radius)
+    use = own | (leaf > home)
+    return leaf[use], at[use], own[use]
+
+
+def reached(tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, index of the point, at home, the point's home) for all leaves that balls of ``radius`` can reach.
+
+    By the triangle inequality the ball misses the inner side if d - radius > mu, and the outer one if d + radius <= mu.
+    """
     home = np.zeros(len(points), np.int64)
     found: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -122,11 +131,10 @@ def place(tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
 
     walk(tree, np.arange(len(points)), np.ones(len(points), bool))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
     leaf = np.concatenate([np.full(len(a), n, np.int64) for n, a, _ in found])
     at, own = np.concatenate([a for _, a, _ in found]), np.concatenate([o for _, _, o in found])
-    use = own | (leaf > home[at])
-    return leaf[use], at[use], own[use]
+    return leaf, at, own, home[at]
 
 
 class Classes:
@@ -162,14 +170,21 @@ class Classes:
 
 
 def link(points: np.ndarray, homes: int, radius: int) -> np.ndarray:
-    """A class for each of ``points``, of which the first ``homes`` are compared with all; pairs within ``radius`` share theirs.
+    """A class for each of ``points``, of which the first ``homes`` are compared with all; pairs within ``radius`` share theirs."""
+    classes = Classes(len(points))
+    for a, b in close_pairs(points, homes, radius):
+        classes.add(a, b)
+    return classes.merge()
+
+
+def close_pairs(points: np.ndarray, homes: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of all pairs (a, b) of indices within ``radius``, a among the first ``homes``; a pair of these comes both ways, each with itself.
 
     A vantage-point tree over the home points is walked with all points at once; the triangle inequality keeps points
     off the branches that their balls miss. Only leaves compare pairs, in blocks.
     """
-    classes = Classes(len(points))
 
-    def compare(h: np.ndarray, q: np.ndarray) -> None:
+    def compare(h: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(h), 1024):
             mine = h[i : i + 1024]
             step = max(1, (1 << 20) // len(mine))
@@ -177,21 +192,20 @@ def link(points: np.ndarray, homes: int, radius: int) -> np.ndarray:
                 other = q[j : j + step]
                 x, y = np.nonzero(np.bitwise_count(points[mine][:, None] ^ points[other][None, :]) <= radius)
                 if len(x):
-                    classes.add(mine[x], other[y])
+                    yield mine[x], other[y]
 
-    def walk(h: np.ndarray, q: np.ndarray, depth: int) -> None:
+    def walk(h: np.ndarray, q: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         found = split_at(points[h]) if len(h) > LEAF and len(q) and depth < 64 else None
         if found is None:
             if len(h) and len(q):
-                compare(h, q)
+                yield from compare(h, q)
             return
         vantage, mu = found
         dh, dq = distances(points[h], vantage), distances(points[q], vantage)
-        walk(h[dh <= mu], q[dq - radius <= mu], depth + 1)
-        walk(h[dh > mu], q[dq + radius > mu], depth + 1)
+        yield from walk(h[dh <= mu], q[dq - radius <= mu], depth + 1)
+        yield from walk(h[dh > mu], q[dq + radius > mu], depth + 1)
 
-    walk(np.arange(homes), np.arange(len(points)), 0)
-    return classes.merge()
+    return walk(np.arange(homes), np.arange(len(points)), 0)
 
 
 def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
@@ -225,6 +239,69 @@ def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return scattered.groupBy("leaf").applyInArrow(gather, "a bigint, b bigint")
 
 
+def forest(points: np.ndarray, more: np.ndarray, sizes: np.ndarray, homes: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of indices that connect all pairs which close_pairs(), NEAR_BOTH and the sizes leave; each is such a pair itself.
+
+    Of a block the closest pairs come first. Pairs that are connected already are skipped, so that a large group of copies gives few.
+    """
+    label = np.arange(len(points))
+    left: list[int] = []
+    right: list[int] = []
+    for a, b in close_pairs(points, homes, NEAR):
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        apart = np.bitwise_count(points[a] ^ points[b]).astype(np.int16) + np.bitwise_count(more[a] ^ more[b])
+        fits = (apart <= NEAR_BOTH) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        order = np.argsort(apart[fits], kind="stable")
+        a, b = a[fits][order], b[fits][order]
+        while len(a):
+            # the first pair of every class that is not yet connected joins it to another one
+            la, lb = label[a], label[b]
+            _, k = np.unique(np.maximum(la, lb), return_index=True)
+            left += a[k].tolist()
+            right += b[k].tolist()
+            np.minimum.at(label, np.maximum(la, lb)[k], np.minimum(la, lb)[k])
+            while (nxt := label[label]).tobytes() != label.tobytes():
+                label = nxt
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def candidates(points: DataFrame, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """(a, b), a < b: pairs of sets (fp, size, bits, more: materialised) whose fingerprints connect them, for a check by their similarity.
+
+    Vantage-point trees as in links(), at radius NEAR over ``bits``. Sets of this similarity differ in size by a bounded factor, so points
+    fall into bands of sizes, and each meets those of its own band and of the next one only. Of each shard's pairs a spanning forest is returned.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    banded = points.withColumn("band", F.floor(F.log("size") / -float(np.log(similarity))).cast("int"))
+    drawn = points.select("bits").orderBy(F.xxhash64(F.lit(SEED), "bits")).limit(SAMPLE).collect()
+    shared = spark.sparkContext.broadcast(upper_tree(np.array([r.bits for r in drawn], np.int64).view(np.uint64), NEAR_DEPTH))
+    schema = pa.schema([("band", pa.int32()), ("leaf", pa.int32()), ("own", pa.bool_()), ("fp", pa.int64()), ("size", pa.int32()), ("bits", pa.int64()), ("more", pa.int64())])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            of = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "size", "bits", "more", "band")}
+            leaf, at, own, home = reached(shared.value, of["bits"].view(np.uint64), NEAR)
+            here = own | (leaf > home)
+            for use, mine, up in ((here, own[here], 0), (np.ones(len(leaf), bool), np.zeros(len(leaf), bool), 1)):
+                k = at[use]
+                columns = [of["band"][k] + np.int32(up), leaf[use].astype(np.int32), mine, of["fp"][k], of["size"][k], of["bits"][k], of["more"][k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def gather(group: pa.Table) -> pa.Table:
+        own = group.column("own").to_numpy()
+        order = np.argsort(~own, kind="stable")
+        fp, size, bits, more = (group.column(c).to_numpy()[order] for c in ("fp", "size", "bits", "more"))
+        a, b = forest(bits.view(np.uint64), more.view(np.uint64), size, int(own.sum()), similarity)
+        return pa.table({"a": pa.array(np.minimum(fp[a], fp[b])), "b": pa.array(np.maximum(fp[a], fp[b]))})
+
+    scattered = banded.select("fp", "size", "bits", "more", "band").mapInArrow(scatter, "band int, leaf int, own boolean, fp bigint, size int, bits bigint, more bigint")
+    return scattered.groupBy("band", "leaf").applyInArrow(gather, "a bigint, b bigint")
+
+
 def near_groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``rows`` (doc_id, fp: materialised) with ``component_id``, the least doc_id that links of at most ``radius`` bits reach.
 
@@ -246,11 +323,11 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, folder: str, words: int = similar.WORDS, similarity: float = similar.SIMILARITY) -> DataFrame:
     """Pipeline stage: of each group of near copies, the row with the least doc_id stays (null ids after all others).
 
-    Near copies have a Jaccard similarity of at least ``similarity`` over shingles of ``words`` words. Fingerprints do not
-    serve here, see similar.py. Null and empty texts are one group. Rows that stay are not moved; an empty table stays empty.
+    Near copies have a Jaccard similarity of at least ``similarity`` over shingles of ``words`` words. Fingerprints joined by
+    vantage-point trees name the pairs; an exact check follows, which also finds those that fingerprints miss, see similar.py. Null and empty texts are one group. Rows that stay are not moved; an empty table stays empty.
     Where rows that stay share a doc_id, one of each group stays, the smallest by its columns as JSON.
     """
-    rows = cut(similar.near_groups(docs, words, similarity))
+    rows = cut(similar.near_groups(docs, candidates, words, similarity))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     per_id = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.bool_or(stays).alias("stays"))
     per_id = cut(per_id.filter("n > 1 OR NOT stays"))  # most rows are not among these, and stay where they are

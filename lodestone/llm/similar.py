@@ -1,7 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles; a prefix filter names the pairs that are compared.
+"""The exact check of near copies: Jaccard similarity of word shingles, and a prefix filter that finds pairs which fingerprints miss.
 
-Why not fingerprints: five-word SimHash fingerprints of texts at 0.8 differ by up to 17 of 64 bits, while those of
-unrelated texts differ by 32 with a deviation of 4. At radius 17 the triangle bound leaves out no branch.
+Fingerprints name pairs first, see simhash.py. A radius cannot promise all pairs, as bits of short texts scatter; so what is
+still apart after that goes through the filter.
 
 How the filter works: all shingles are put in one order, rare ones first. Two sets of similarity s share a shingle among
 the first n - ceil(s * n) + 1 of each, whatever the order is, so no pair is missed. The order decides the cost only: a copy
@@ -10,7 +10,7 @@ with more than a fifth of shingles of its own has only those in its prefix and m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -56,6 +56,21 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)).view(np.int64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the ``hashes``; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        block = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def print_of(shingles: np.ndarray) -> tuple[int, int]:
+    """SimHash fingerprint of a set in 128 bits, as two signed integers; the second is made of the hashes mixed once more."""
+    mixed = (shingles ^ (shingles >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return tuple(int(np.uint64(majority(h)).view(np.int64)) for h in (shingles, mixed))
+
+
 def parity(shingles: np.ndarray) -> np.ndarray:
     """Bits, each telling whether an odd number of the shingles falls on it, as signed integers of 64 bits.
 
@@ -127,7 +142,7 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float, few: flo
 
 
 def sketches(docs: DataFrame, counts: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, fp, size, prefix, few, parity) of every row; fp is the key of its set. A null text counts as empty, its prefix is empty too."""
+    """(doc_id, fp, size, prefix, few, parity, bits, more) of every row; fp is the key of its set, bits and more are its fingerprint. A null text counts as empty, its prefix is empty too."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64))
 
@@ -137,11 +152,12 @@ def sketches(docs: DataFrame, counts: np.ndarray, words: int = WORDS, similarity
         for batch in slices(batches):
             sets = [shingle_set(t, words) for t in batch.column("__text").to_pylist()]
             first = [prefix(s, shared.value, similarity, few) for s in sets]
-            columns = [batch.column("doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([f.view(np.int64) for f, _ in first], pa.list_(pa.int64())), pa.array([n for _, n in first], pa.int32()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "prefix", "few", "parity"])
+            prints = [print_of(s) for s in sets]
+            columns = [batch.column("doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([f.view(np.int64) for f, _ in first], pa.list_(pa.int64())), pa.array([n for _, n in first], pa.int32()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.array([b for b, _ in prints], pa.int64()), pa.array([m for _, m in prints], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "prefix", "few", "parity", "bits", "more"])
 
     slim = docs.select("doc_id", text_or_empty().alias("__text"))
-    return slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, size int, prefix array<bigint>, few int, parity array<bigint>")
+    return slim.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, size int, prefix array<bigint>, few int, parity array<bigint>, bits bigint, more bigint")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -226,40 +242,42 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
     return few.unionByName(attach(many, common, "shingle", "__m", total).drop("__m")).distinct()
 
 
-def _classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` (fp, __w) with ``class``, the least fp that links reach."""
-    component = connected_components(links, "a", "b")
-    return members.join(component, F.col("fp") == F.col("node"), "left").select("fp", "__w", F.coalesce("component", "fp").alias("class"))
+def _classes(members: DataFrame, component: DataFrame) -> DataFrame:
+    """``members`` (fp, ...) with ``class``, the least fp that links reach."""
+    return members.join(component, F.col("fp") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "fp").alias("class"))
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, candidates: Callable[[DataFrame, float], DataFrame], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id that pairs of at least ``similarity`` reach.
 
-    Equal sets are one point from the start. Members of a shingle first meet a few of them, those with the least rare
+    Equal sets are one point from the start. ``candidates`` names pairs (a, b) of points (fp, size, bits, more) by their fingerprints.
+    The exact filter adds those that it misses: members of a shingle first meet a few of them, those with the least rare
     shingles before it, so that a large group becomes one class by few comparisons; then members that are still in different classes
     meet each other. Every link is verified by exact Jaccard similarity. Rows without doc_id get the component of
     their set; where all rows of a set lack it, it takes no part in links and its component is null. Texts without words are
     one set, which links to no other. An empty table has no rows.
     """
     rows = cut(sketches(docs, shingle_counts(docs, words), words, similarity))
-    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("__n")))
+    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("__n"), *[F.min(c).alias(c) for c in ("size", "bits", "more")]))
     shared = cut(shared_shingles(rows))
     total = shared.count()
     each = cut(shared.groupBy("fp").agg(F.count("*").alias("__w")))
-    ordered = lambda df: cut(df.select(F.least("fp", "other.fp").alias("a"), F.greatest("fp", "other.fp").alias("b")).distinct())
-    check = lambda pairs: cut(verified(cut(not_apart(ordered(pairs), rows, similarity)), docs, points, words, similarity))
+    named = candidates(points.filter("rep IS NOT NULL AND size > 0").select("fp", "size", "bits", "more"), similarity)
+    ordered = lambda df: df.select(F.least("fp", "other.fp").alias("a"), F.greatest("fp", "other.fp").alias("b"))
+    check = lambda pairs: cut(verified(cut(not_apart(cut(pairs.distinct()), rows, similarity)), docs, points, words, similarity))
     hub = lambda k: F.min_by(F.struct("fp", "size", "pos"), F.struct("pos", F.xxhash64(F.lit(k), "shingle", "fp")))
     hubs = cut(shared.groupBy("shingle").agg(F.count("*").alias("__m"), F.array_distinct(F.array(*[hub(k) for k in range(HUBS)])).alias("hubs")))
-    links = check(attach(shared, hubs, "shingle", "__m", total).withColumn("other", F.explode("hubs")).filter(may_link(similarity)))
-    classes = cut(_classes(each, links))
+    links = check(named.union(ordered(attach(shared, hubs, "shingle", "__m", total).withColumn("other", F.explode("hubs")).filter(may_link(similarity)))))
+    component = cut(connected_components(links, "a", "b"))
+    classes = cut(_classes(each, component))
     classed = cut(attach(shared, classes, "fp", "__w", total).drop("__w"))
     apart = cut(classed.groupBy("shingle").agg(F.count("*").alias("__m"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("shingle", "__m"))
     rest = cut(attach(classed, apart, "shingle", "__m", total).drop("__m"))
     if rest.take(1):
         others = rest.select(F.col("shingle").alias("__shingle"), F.struct("fp", "size", "pos", "class").alias("other"))
         more = rest.join(others, (F.col("shingle") == F.col("__shingle")) & (F.col("class") < F.col("other.class")) & may_link(similarity))
-        classes = cut(_classes(each, links.unionByName(check(more))))
-    joined = points.join(classes.select("fp", "class"), "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+        component = cut(connected_components(links.unionByName(check(ordered(more))), "a", "b"))
+    joined = _classes(points.select("fp", "rep", "__n"), component)
     least = joined.groupBy("class").agg(F.min("rep").alias("component_id"))
     known = cut(joined.join(least, "class").select("fp", "__n", "component_id"))
     return attach(rows.select("doc_id", "fp"), known, "fp", "__n", rows.count()).select("doc_id", "fp", "component_id")

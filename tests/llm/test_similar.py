@@ -73,3 +73,25 @@ def test_stage_leaves_one_of_each_group(spark, make):
     left = simhash.keep(spark, docs, "")
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_fingerprints_name_pairs(spark, monkeypatch):
+    """The trees connect all pairs within the radii, by such pairs only; and they link near copies where the exact filter that follows finds nothing."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import similar
+    from lodestone.session import cut
+
+    docs = documents(spark).unionByName(edited(spark).withColumn("doc_id", F.col("doc_id") + 10**9), allowMissingColumns=True)
+    rows = similar.sketches(docs, similar.shingle_counts(docs))
+    points = cut(rows.filter("size > 0").select("fp", "size", "bits", "more").distinct())
+    at = {r.fp: r for r in points.collect()}
+    near = {(a, b) for a in at for b in at if a < b and (d := bin((at[a].bits ^ at[b].bits) % 2**64).count("1")) <= simhash.NEAR and d + bin((at[a].more ^ at[b].more) % 2**64).count("1") <= simhash.NEAR_BOTH and min(at[a].size, at[b].size) >= 0.8 * max(at[a].size, at[b].size) - 1e-9}
+    got = {(r.a, r.b) for r in simhash.candidates(points).collect()}
+    parts = lambda pairs: similar.connected_components(spark.createDataFrame(sorted(pairs), "a bigint, b bigint"), "a", "b").collect()
+    assert near and got <= near and {tuple(r) for r in parts(got)} == {tuple(r) for r in parts(near)}
+    shared = similar.shared_shingles
+    monkeypatch.setattr(similar, "shared_shingles", lambda rows: shared(rows).limit(0))
+    left, true = simhash.keep(spark, docs, "").count(), len(brute_kept([(r.doc_id, r.text) for r in docs.collect()]))
+    distinct = len({shingles(r.text) for r in docs.collect()})
+    assert true <= left < (true + distinct) / 2
