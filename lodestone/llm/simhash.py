@@ -177,17 +177,17 @@ def link(points: np.ndarray, homes: int, radius: int) -> np.ndarray:
     return classes.merge()
 
 
-def close_pairs(points: np.ndarray, homes: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(points: np.ndarray, homes: int, radius: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of all pairs (a, b) of indices within ``radius``, a among the first ``homes``; a pair of these comes both ways, each with itself.
 
     A vantage-point tree over the home points is walked with all points at once; the triangle inequality keeps points
-    off the branches that their balls miss. Only leaves compare pairs, in blocks.
+    off the branches that their balls miss. Only leaves compare pairs, in blocks of at most ``cells``.
     """
 
     def compare(h: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(h), 1024):
             mine = h[i : i + 1024]
-            step = max(1, (1 << 20) // len(mine))
+            step = max(1, cells // len(mine))
             for j in range(0, len(q), step):
                 other = q[j : j + step]
                 x, y = np.nonzero(np.bitwise_count(points[mine][:, None] ^ points[other][None, :]) <= radius)
@@ -247,7 +247,7 @@ def forest(points: np.ndarray, more: np.ndarray, sizes: np.ndarray, homes: int,
     label = np.arange(len(points))
     left: list[int] = []
     right: list[int] = []
-    for a, b in close_pairs(points, homes, NEAR):
+    for a, b in close_pairs(points, homes, NEAR, cells=1 << 17):  # in a group of copies all pairs of a block are close, about 100 bytes each
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
         apart = np.bitwise_count(points[a] ^ points[b]).astype(np.int16) + np.bitwise_count(more[a] ^ more[b])
